@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timecode import timecode_ms
 from ..session import table
+from .leakage import leaked_items
 from .runs import collapse_runs
 from .spans import shared_spans
 from .tokenizer import encode_corpus
@@ -32,6 +33,15 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each evaluation item that leaked: into how many documents."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"), span=80)
 
@@ -43,5 +53,5 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(docs, "doc_id").select("doc_id", "n_ranges", "shared_chars", (F.col("shared_chars") / F.col("chars")).alias("shared_part"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import parallelism
-from .codepoints import STEP, flatten, mix, ragged, sliding_min, window_hashes
+from .codepoints import flatten, mix, ragged, sliding_min, window_hashes
 
 BLOCK, HITS = "block int, body binary", "bucket int, block int, body binary"
 #: Characters that are hashed at once; bounds a worker's memory.
