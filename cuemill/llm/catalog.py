@@ -14,8 +14,7 @@ from .tokenizer import encode_corpus
 
 
 def _cue_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cue = table(spark, sf_dir, "cue").select("segment_name", "attempt", "pos", "cue_id", "original", timecode_ms(F.col("start_tc")).alias("start_ms"), timecode_ms(F.col("end_tc")).alias("end_ms"))
-    return collapse_runs(cue, "segment_name", "attempt", "pos", "original", "start_ms", "end_ms", "cue_id")
+    return collapse_runs(table(spark, sf_dir, "cue"), "segment_name", "attempt", "pos", "original", "start_tc", "end_tc", "cue_id", read_time=timecode_ms)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, parallelism
@@ -200,13 +201,15 @@ def _joined(edges: list) -> list[tuple]:
     return [tuple(x[k] for k in ("entity", "version", "first_pos", "last_pos", "n", "from_ms", "to_ms")) for x in done if x["n"]]
 
 
-def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str, start: str, end: str, key: str) -> DataFrame:
+def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str, start: str, end: str, key: str, read_time: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """One row per longest run of consecutive events with the same utterance in each entity's highest version.
 
     Result: entity, version, first_pos, last_pos, n (records), from_ms and to_ms (least start and greatest end of its
     events with a known time, null where none is). Single events give runs of one; null and blank texts give none
     and end a run. Ties in ``pos`` are ordered by ``key``; rows alike in ``pos`` and ``key`` are one record. Rows
     with a null entity, version or position are left out; an empty table gives an empty result. Other columns aren't read.
+    ``read_time`` turns a start or end into milliseconds; it is applied behind the sort, so that the sampling of the
+    sort's bounds doesn't have to evaluate it.
     """
     spark = df.sparkSession
     slim = df.select(
@@ -215,11 +218,12 @@ def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str,
         F.col(pos).cast("int").alias("pos"),
         F.col(key).cast("string").alias("row_key"),
         F.col(text).alias("text"),
-        F.col(start).cast("bigint").alias("start_ms"),
-        F.col(end).cast("bigint").alias("end_ms"),
+        F.col(start).alias("start_ms"),
+        F.col(end).alias("end_ms"),
     ).where("entity is not null and version is not null and pos is not null")
     order = ["entity", F.desc("version"), "pos", "row_key"]
     ranged = slim.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumns({c: read_time(F.col(c)).cast("bigint") for c in ("start_ms", "end_ms")})
     runs = materialise(ranged.mapInArrow(_scan, RUN_SCHEMA), "runs")
     # at most two rows per partition of the sort
     edges = _joined(runs.where("edge > 0").collect())
