@@ -10,9 +10,22 @@ from ..session import table
 from .leakage import leaked_items
 from .runs import collapse_runs
 from .spans import shared_spans
+from .template import residue
 from .tokenizer import encode_corpus
 
 
+LYRICS = ["reference_lyrics_og", "reference_lyrics_en"]
+
+
+def p3_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field that isn't, or not only, content, with what was found in it."""
+    return residue(table(spark, sf_dir, "scene"), "scene_id", LYRICS).select(F.col("record_id").alias("scene_id"), "field_name", F.array_join("verdict", ",").alias("verdicts"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_verdicts(spark, sf_dir).select("scene_id", "field_name")
+
+
 def _cue_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "cue"), "segment_name", "attempt", "pos", "original", "start_tc", "end_tc", "cue_id", read_time=timecode_ms)
 
@@ -52,5 +65,5 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(docs, "doc_id").select("doc_id", "n_ranges", "shared_chars", (F.col("shared_chars") / F.col("chars")).alias("shared_part"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p3_found": p3_found, "p3_verdicts": p3_verdicts, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}
