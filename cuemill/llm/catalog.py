@@ -11,6 +11,7 @@ from .leakage import leaked_items
 from .runs import collapse_runs
 from .spans import shared_spans
 from .template import residue
+from .truncation import truncated
 from .tokenizer import encode_corpus
 
 
@@ -26,6 +27,28 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_verdicts(spark, sf_dir).select("scene_id", "field_name")
 
 
+def _cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scene, found = table(spark, sf_dir, "scene"), p3_found(spark, sf_dir)
+    lyrics = scene.select("scene_id", "lyrics_site", *LYRICS).unpivot(["scene_id", "lyrics_site"], LYRICS, "field_name", "text")
+    lyrics = lyrics.join(found, ["scene_id", "field_name"], "left_anti")
+    lyrics = lyrics.select(F.lit("scene").alias("table_name"), F.col("scene_id").alias("record_id"), "field_name", F.col("lyrics_site").alias("source"), "text")
+    results = table(spark, sf_dir, "search_result").select(F.lit("search_result").alias("table_name"), F.col("result_id").alias("record_id"), F.lit("content").alias("field_name"), F.col("site").alias("source"), F.col("content").alias("text"))
+    return lyrics.unionByName(results)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated(_cut_values(spark, sf_dir)).select("table_name", "record_id", "field_name").distinct()
+
+
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source: its values that aren't null or empty, how many of them are cut, and their share."""
+    values = _cut_values(spark, sf_dir).where("text <> ''").select("table_name", "record_id", "field_name", "source").distinct()
+    total = values.groupBy("table_name", "source").agg(F.count("*").alias("n_values"))
+    cut = truncated(_cut_values(spark, sf_dir)).select("table_name", "record_id", "field_name", "source").distinct().groupBy("table_name", F.col("source").alias("cut_source")).agg(F.count("*").alias("n_cut"))
+    j = total.join(cut, (total.table_name == cut.table_name) & total.source.eqNullSafe(cut.cut_source), "left").drop(cut.table_name)
+    return j.select("table_name", "source", "n_values", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), (F.coalesce("n_cut", F.lit(0)) / F.col("n_values")).alias("cut_share"))
+
+
 def _cue_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "cue"), "segment_name", "attempt", "pos", "original", "start_tc", "end_tc", "cue_id", read_time=timecode_ms)
 
@@ -65,5 +88,5 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(docs, "doc_id").select("doc_id", "n_ranges", "shared_chars", (F.col("shared_chars") / F.col("chars")).alias("shared_part"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_verdicts": p3_verdicts, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p3_found": p3_found, "p3_verdicts": p3_verdicts, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}
