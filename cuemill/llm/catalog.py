@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timecode import timecode_ms
 from ..session import table
+from .bilingual import aligned_lines
 from .leakage import leaked_items
 from .runs import collapse_runs
 from .spans import shared_spans
@@ -18,6 +19,10 @@ from .tokenizer import encode_corpus
 LYRICS = ["reference_lyrics_og", "reference_lyrics_en"]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_lines(table(spark, sf_dir, "scene"), "scene_id", *LYRICS, glossary=table(spark, sf_dir, "glossary")).withColumnRenamed("record_id", "scene_id")
+
+
 def p3_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field that isn't, or not only, content, with what was found in it."""
     return residue(table(spark, sf_dir, "scene"), "scene_id", LYRICS).select(F.col("record_id").alias("scene_id"), "field_name", F.array_join("verdict", ",").alias("verdicts"))
@@ -88,5 +93,5 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(docs, "doc_id").select("doc_id", "n_ranges", "shared_chars", (F.col("shared_chars") / F.col("chars")).alias("shared_part"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_verdicts": p3_verdicts, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_verdicts": p3_verdicts, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
 SQL: dict[str, str] = {}
