@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import timeline
+from . import files, timeline
 
-QUERIES = {**timeline.QUERIES}
-SQL = {**timeline.SQL}
+QUERIES = {**timeline.QUERIES, **files.QUERIES}
+SQL = {**timeline.SQL, **files.SQL}

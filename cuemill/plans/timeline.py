@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..backend import ReplayBackend
+from ..functions import timecode as tc
+from ..functions.text import merge_bilingual, newlines, normalise_text
 from ..functions.timecode import timecode_ms
+from ..operators import gaps, segments, validate
 from ..operators.intervals import merge_intervals, periods_and_gaps
+from ..operators.prompt import segment_prompts
+from ..operators.stitch import PLACEHOLDER, stitch
 from ..session import table
+from ..sources import srt
+from ..streaming.cues import deliver_once
 
 
 def segment_spans(segment: DataFrame) -> DataFrame:
@@ -48,5 +56,250 @@ UNION ALL SELECT 'gap', segment_name, p, f FROM j WHERE f - p >= 2000
 UNION ALL SELECT 'gap', segment_name, coalesce(t, 0), duration_ms FROM l WHERE (t IS NULL AND duration_ms > 0) OR duration_ms - t >= 2000
 """
 
-QUERIES = {"p2_found": p2_found}
-SQL = {"p2_found": P2_SQL}
+
+# ---- cues: reading, repairing, checking -----------------------------------------------------------------------------
+def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cue once, with its times."""
+    c = table(spark, sf_dir, "cue").select("cue_id", "segment_name", "attempt", "pos", "start_tc", "end_tc", "original", "english").distinct()
+    return validate.with_times(c)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.latest(table(spark, sf_dir, "segment"), "segment_name").select("segment_name", "media_id", "seg_idx", "duration_ms")
+
+
+def timecode_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cues(spark, sf_dir).select("cue_id", "start_ms", "end_ms")
+
+
+def timecode_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "cue").select("cue_id", tc.clean_timecode(F.col("start_tc")).alias("start_tc"), tc.clean_timecode(F.col("end_tc")).alias("end_tc")).distinct()
+
+
+def timecode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted, soiled, cleaned and parsed again: as it was."""
+    e = table(spark, sf_dir, "events").select("event_id", F.pmod(F.unix_micros(F.col("ts").cast("timestamp")) / 1000, F.lit(6_000_000)).cast("bigint").alias("ms"))
+    noisy = F.concat(F.element_at(F.array(F.lit("start: "), F.lit("["), F.lit("")), (F.col("event_id") % 3 + 1).cast("int")), tc.format_timecode(F.col("ms")), F.element_at(F.array(F.lit(",end:"), F.lit(" -->")), (F.col("event_id") % 2 + 1).cast("int")))
+    return e.select("event_id", "ms", tc.format_timecode(F.col("ms")).alias("text"), timecode_ms(noisy).alias("back_ms"))
+
+
+def srt_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cues(spark, sf_dir).where("start_ms is not null and end_ms is not null").select("cue_id", tc.format_srt(F.col("start_ms")).alias("start_srt"), tc.format_srt(F.col("end_ms")).alias("end_srt"))
+
+
+def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cues(spark, sf_dir).select("cue_id", normalise_text(F.col("original")).alias("original_key"), normalise_text(F.col("english")).alias("english_key"))
+
+
+def bilingual_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cues(spark, sf_dir).select("cue_id", merge_bilingual(F.col("original"), F.col("english")).alias("text"))
+
+
+def newline_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "scene").select("scene_id", newlines(F.col("reference_lyrics_og")).alias("og"), newlines(F.col("reference_lyrics_en")).alias("en")).distinct()
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cues(spark, sf_dir).join(_segments(spark, sf_dir), "segment_name", "left")
+
+
+def validate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every response with its first bad cue, if any: null reasons are valid, the others go to quarantine."""
+    return validate.response_verdicts(_checked(spark, sf_dir), ["segment_name", "attempt"])
+
+
+def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate_responses(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n_responses"), F.sum("n_cues").alias("n_cues"))
+
+
+def validate_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scene = table(spark, sf_dir, "scene").select("scene_id", "segment_name", "pos", "start_tc", "end_tc").distinct()
+    checked = validate.with_times(scene).join(_segments(spark, sf_dir), "segment_name", "left")
+    return validate.response_verdicts(checked, ["segment_name"]).withColumnRenamed("n_cues", "n_scenes")
+
+
+def _valid_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of the active response of each segment, where it is valid as a whole."""
+    c = validate.active(_cues(spark, sf_dir)).join(_segments(spark, sf_dir), "segment_name")
+    good = validate.response_verdicts(c, ["segment_name"]).where("reason is null")
+    return c.join(good.select("segment_name"), "segment_name", "left_semi")
+
+
+_C = f"""c AS (SELECT DISTINCT cue_id, segment_name, attempt, pos, start_tc, end_tc, original, english, {ms_sql("start_tc")} AS start_ms, {ms_sql("end_tc")} AS end_ms FROM cue),
+d AS (SELECT segment_name, media_id, seg_idx, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY segment_name ORDER BY loaded_at DESC) AS rn FROM segment) WHERE rn = 1),
+w AS (SELECT c.*, d.duration_ms, CASE WHEN start_ms IS NULL OR end_ms IS NULL THEN 'unreadable' WHEN start_ms >= end_ms THEN 'order' WHEN end_ms > duration_ms + 2000 THEN 'beyond' END AS why FROM c LEFT JOIN d USING (segment_name)),
+r AS (SELECT segment_name, attempt, count(*) AS n_cues, min(CASE WHEN why IS NOT NULL THEN pos END) AS first_bad_pos, arg_min(why, pos) FILTER (WHERE why IS NOT NULL) AS reason FROM w GROUP BY segment_name, attempt)"""
+_A = f"""{_C},
+top AS (SELECT segment_name, max(attempt) AS attempt FROM c GROUP BY segment_name),
+g AS (SELECT w.* FROM w JOIN top USING (segment_name, attempt) JOIN r USING (segment_name, attempt) WHERE r.reason IS NULL AND w.duration_ms IS NOT NULL)"""
+_STRIP = "regexp_replace(regexp_replace({c}, '^[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ''), '[\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '')"
+_PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def strip_sql(c: str) -> str:
+    return _STRIP.format(c=c)
+
+
+def key_sql(c: str) -> str:
+    return f"translate(replace(lower({strip_sql(c)}), 'ß', 'ss'), '{_PUNCT}', '')"
+
+
+_MERGE = f"CASE WHEN {key_sql('original')} = {key_sql('english')} THEN {strip_sql('original')} ELSE {strip_sql('original')} || chr(10) || {strip_sql('english')} END"
+
+
+def _srt_sql(c: str) -> str:
+    return f"printf('%02d:%02d:%02d,%03d', {c} // 3600000, {c} % 3600000 // 60000, {c} % 60000 // 1000, {c} % 1000)"
+
+
+def _clean_sql(c: str) -> str:
+    t = f"translate({c},'０１２３４５６７８９','0123456789')"
+    x = f"regexp_extract({t}, '(\\d{{1,2}}:\\d{{2}}(?:[:.]\\d{{1,3}})?)', 1)"
+    return f"CASE WHEN {x} = '' THEN {t} ELSE {x} END"
+
+
+def _lines_sql(c: str) -> str:
+    return f"replace(replace(replace(replace({c}, '\\r', chr(13)), '\\n', chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+# ---- gaps, segments, stitching --------------------------------------------------------------------------------------
+def gap_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = gaps.largest_gaps(_valid_cues(spark, sf_dir), _segments(spark, sf_dir).select("segment_name", "duration_ms"))
+    return g.withColumn("large", gaps.has_large_gap(60_000))
+
+
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a segment's cue list covers it: gaps at the ends of the medium are let pass."""
+    flags = segments.boundary_flags(_segments(spark, sf_dir)).select("segment_name", "is_first", "is_last")
+    g = gap_detection(spark, sf_dir).join(flags, "segment_name")
+    head, tail = (F.col("head_ms") >= 60_000) & ~F.col("is_first"), (F.col("tail_ms") >= 60_000) & ~F.col("is_last")
+    gap = F.coalesce(head, F.lit(False)) | F.coalesce(F.col("inner_ms") >= 60_000, F.lit(False)) | F.coalesce(tail, F.lit(False))
+    return g.select("segment_name", "is_first", "is_last", (~gap).alias("covered"))
+
+
+def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.offsets(_segments(spark, sf_dir)).select("media_id", "seg_idx", "offset_ms")
+
+
+def start_offset_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.skip_start(segments.offsets(_segments(spark, sf_dir)), 7.0, 300).select("media_id", "seg_idx", "offset_ms", "duration_ms")
+
+
+def boundary_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.boundary_flags(_segments(spark, sf_dir)).select("media_id", "seg_idx", "is_first", "is_last")
+
+
+def segment_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.media_totals(_segments(spark, sf_dir), 100)
+
+
+def segment_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events cut into segments of six hours: index and time within the segment."""
+    rel = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000) - 1704067200000
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("media_id"), rel.cast("bigint").alias("rel_ms"))
+    return e.select("event_id", "media_id", F.floor(F.col("rel_ms") / 21_600_000).cast("bigint").alias("seg_idx"), F.pmod("rel_ms", F.lit(21_600_000)).alias("start_ms"))
+
+
+def _stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = _valid_cues(spark, sf_dir).select("segment_name", "pos", "start_ms", "end_ms", merge_bilingual(F.col("original"), F.col("english")).alias("text"))
+    return stitch(_segments(spark, sf_dir), cues)
+
+
+def stitch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stitched(spark, sf_dir).select("media_id", "cue_no", "seg_idx", "pos", "start_ms", "end_ms", "text")
+
+
+def stitch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _stitched(spark, sf_dir)
+    return s.groupBy("media_id").agg(F.count("*").alias("n_cues"), F.count(F.when(F.col("pos") < 0, 1)).alias("n_missing"), F.max("end_ms").alias("end_ms"))
+
+
+def srt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _stitched(spark, sf_dir)
+    return s.select("media_id", "cue_no", srt.block(F.col("cue_no"), F.col("start_ms"), F.col("end_ms"), F.coalesce("text", F.lit(""))).alias("block"))
+
+
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of each segment as JSON in a prompt; the spacing of JSON is the JVM's, so there is no SQL twin."""
+    s = table(spark, sf_dir, "scene").drop("loaded_at").distinct().withColumnsRenamed({"start_tc": "start", "end_tc": "end"})
+    return segment_prompts(_segments(spark, sf_dir), s)
+
+
+def replay_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment asked again, answered from the recorded responses: here their number of cues."""
+    recorded = validate.active(_cues(spark, sf_dir)).groupBy(F.col("segment_name").alias("request_id")).agg(F.count("*").cast("string").alias("response"))
+    asked = _segments(spark, sf_dir).select(F.col("segment_name").alias("request_id"), F.lit("").alias("prompt"))
+    return ReplayBackend(recorded).run(asked).select("request_id", "response")
+
+
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cue files as a stream, each record once."""
+    return deliver_once(spark, f"{sf_dir}/cue.parque[t]").select("cue_id", "segment_name", "attempt", "pos", "original")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "timecode_parse": timecode_parse,
+    "timecode_clean": timecode_clean,
+    "timecode_roundtrip": timecode_roundtrip,
+    "srt_timestamps": srt_timestamps,
+    "text_normalise": text_normalise,
+    "bilingual_merge": bilingual_merge,
+    "newline_normalise": newline_normalise,
+    "validate_responses": validate_responses,
+    "quarantine_reasons": quarantine_reasons,
+    "validate_scenes": validate_scenes,
+    "gap_detection": gap_detection,
+    "completeness": completeness,
+    "segment_offsets": segment_offsets,
+    "start_offset_skip": start_offset_skip,
+    "boundary_flags": boundary_flags,
+    "segment_durations": segment_durations,
+    "segment_assign": segment_assign,
+    "stitch": stitch_query,
+    "stitch_summary": stitch_summary,
+    "srt_render": srt_render,
+    "prompt_render": prompt_render,
+    "replay_inference": replay_inference,
+    "stream_once": stream_once,
+}
+
+_GAPS = f"""{_A},
+x AS (SELECT segment_name, pos, start_ms, end_ms, max(end_ms) OVER (PARTITION BY segment_name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM g),
+p AS (SELECT segment_name, arg_min(start_ms, pos) AS h, max(start_ms - pe) AS i, max(end_ms) AS e FROM x GROUP BY segment_name),
+q AS (SELECT d.segment_name, d.media_id, d.seg_idx, duration_ms, coalesce(h, duration_ms) AS head_ms, i AS inner_ms, duration_ms - coalesce(e, 0) AS tail_ms FROM d LEFT JOIN p USING (segment_name))"""
+_OFF = "o AS (SELECT *, coalesce(sum(duration_ms) OVER (PARTITION BY media_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ms FROM d)"
+_FLAG = "f AS (SELECT segment_name, media_id, seg_idx, seg_idx = min(seg_idx) OVER (PARTITION BY media_id) AS is_first, seg_idx = max(seg_idx) OVER (PARTITION BY media_id) AS is_last FROM d)"
+_STITCH = f"""{_A}, {_OFF},
+u AS (SELECT media_id, seg_idx, pos, start_ms + offset_ms AS start_ms, end_ms + offset_ms AS end_ms, {_MERGE} AS text FROM g JOIN o USING (segment_name)
+  UNION ALL SELECT media_id, seg_idx, -1, offset_ms, offset_ms + duration_ms, '{PLACEHOLDER}' FROM o WHERE segment_name NOT IN (SELECT segment_name FROM g)),
+n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, pos) AS cue_no FROM u),
+s AS (SELECT media_id, seg_idx, pos, cue_no, CASE WHEN cue_no = 1 THEN greatest(start_ms, 1) ELSE start_ms END AS start_ms, end_ms, text FROM n)"""
+
+SQL = {
+    "p2_found": P2_SQL,
+    "timecode_parse": f"WITH {_C} SELECT cue_id, start_ms, end_ms FROM c",
+    "timecode_clean": f"SELECT DISTINCT cue_id, {_clean_sql('start_tc')} AS start_tc, {_clean_sql('end_tc')} AS end_tc FROM cue",
+    "timecode_roundtrip": "SELECT event_id, ms, printf('%02d:%02d.%03d', ms // 60000, ms % 60000 // 1000, ms % 1000) AS text, ms AS back_ms FROM (SELECT event_id, (epoch_us(ts) // 1000) % 6000000 AS ms FROM events)",
+    "srt_timestamps": f"WITH {_C} SELECT cue_id, {_srt_sql('start_ms')} AS start_srt, {_srt_sql('end_ms')} AS end_srt FROM c WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL",
+    "text_normalise": f"WITH {_C} SELECT cue_id, {key_sql('original')} AS original_key, {key_sql('english')} AS english_key FROM c",
+    "bilingual_merge": f"WITH {_C} SELECT cue_id, {_MERGE} AS text FROM c",
+    "newline_normalise": f"SELECT DISTINCT scene_id, {_lines_sql('reference_lyrics_og')} AS og, {_lines_sql('reference_lyrics_en')} AS en FROM scene",
+    "validate_responses": f"WITH {_C} SELECT segment_name, attempt, n_cues, first_bad_pos, reason FROM r",
+    "quarantine_reasons": f"WITH {_C} SELECT coalesce(reason, 'valid') AS reason, count(*) AS n_responses, sum(n_cues)::BIGINT AS n_cues FROM r GROUP BY 1",
+    "validate_scenes": f"""WITH s0 AS (SELECT DISTINCT scene_id, segment_name, pos, start_tc, end_tc, {ms_sql("start_tc")} AS start_ms, {ms_sql("end_tc")} AS end_ms FROM scene),
+d AS (SELECT segment_name, max_by(duration_ms, loaded_at) AS duration_ms FROM segment GROUP BY segment_name),
+w AS (SELECT s0.*, CASE WHEN start_ms IS NULL OR end_ms IS NULL THEN 'unreadable' WHEN start_ms >= end_ms THEN 'order' WHEN end_ms > duration_ms + 2000 THEN 'beyond' END AS why FROM s0 LEFT JOIN d USING (segment_name))
+SELECT segment_name, count(*) AS n_scenes, min(CASE WHEN why IS NOT NULL THEN pos END) AS first_bad_pos, arg_min(why, pos) FILTER (WHERE why IS NOT NULL) AS reason FROM w GROUP BY segment_name""",
+    "gap_detection": f"WITH {_GAPS} SELECT segment_name, duration_ms, head_ms, inner_ms, tail_ms, coalesce(greatest(head_ms, inner_ms, tail_ms) >= 60000, false) AS large FROM q",
+    "completeness": f"WITH {_GAPS}, {_FLAG} SELECT segment_name, is_first, is_last, NOT (coalesce(head_ms >= 60000 AND NOT is_first, false) OR coalesce(inner_ms >= 60000, false) OR coalesce(tail_ms >= 60000 AND NOT is_last, false)) AS covered FROM q JOIN f USING (segment_name)",
+    "segment_offsets": f"WITH {_C}, {_OFF} SELECT media_id, seg_idx, offset_ms FROM o",
+    "start_offset_skip": f"WITH {_C}, {_OFF} SELECT media_id, seg_idx, offset_ms, duration_ms FROM o WHERE seg_idx >= 1",
+    "boundary_flags": f"WITH {_C}, {_FLAG} SELECT media_id, seg_idx, is_first, is_last FROM f",
+    "segment_durations": f"WITH {_C} SELECT media_id, count(*) AS n_segments, sum(duration_ms)::BIGINT AS total_ms, count(*) * 100 AS reuse_within_ms FROM d GROUP BY media_id",
+    "segment_assign": "SELECT event_id, event_type AS media_id, rel // 21600000 AS seg_idx, rel % 21600000 AS start_ms FROM (SELECT event_id, event_type, epoch_us(ts) // 1000 - 1704067200000 AS rel FROM events)",
+    "stitch": f"WITH {_STITCH} SELECT media_id, cue_no, seg_idx, pos, start_ms, end_ms, text FROM s",
+    "stitch_summary": f"WITH {_STITCH} SELECT media_id, count(*) AS n_cues, count(*) FILTER (WHERE pos < 0) AS n_missing, max(end_ms) AS end_ms FROM s GROUP BY media_id",
+    "srt_render": f"WITH {_STITCH} SELECT media_id, cue_no, cue_no || chr(10) || {_srt_sql('start_ms')} || ' --> ' || {_srt_sql('end_ms')} || chr(10) || coalesce(text, '') AS block FROM s",
+    "replay_inference": f"WITH {_C}, top AS (SELECT segment_name, max(attempt) AS attempt FROM c GROUP BY segment_name), k AS (SELECT segment_name, count(*) AS n FROM c JOIN top USING (segment_name, attempt) GROUP BY segment_name) SELECT d.segment_name AS request_id, n::VARCHAR AS response FROM d LEFT JOIN k USING (segment_name)",
+    "stream_once": "SELECT DISTINCT cue_id, segment_name, attempt, pos, original FROM cue",
+}
