@@ -199,13 +199,14 @@ def _extend(a: np.ndarray, i: int, b: np.ndarray, j: int, step: int, most: int)
                     if y2 <= m and 0 <= y2 + k2 <= n and y2 > new.get(k2, -1):
                         new[k2] = y2
             reach = new
-        best = 0
+        best = out[-1] if out else 0
         for k, y in reach.items():
-            x = y + k
+            x, y0 = y + k, y
             while y < m and x < n and a[x] == b[y]:
                 x, y = x + 1, y + 1
             reach[k] = y
-            best = max(best, y)
+            if y > y0:  # a stretch ends with a symbol that is the same
+                best = max(best, y)
         out.append(best)
         if not reach or best >= m:
             break

@@ -108,14 +108,15 @@ def _contraction(cp: np.ndarray, at: int, n: int, first: np.ndarray) -> int:
 
 
 class PairTable:
-    """Open-addressing hash table from a pair of ids to the id, and so the rank, of their merger."""
+    """Open-addressing hash table from a pair of ids to the id, and so the rank, of their merger. A pair whose part was made
+    after the merger can't have made it and is no entry, so a merger's own pairs always rank behind it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         left, right, to = [], [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
+                if a is not None and b is not None and a < rank and b < rank:
                     left.append(a), right.append(b), to.append(rank)
         key = np.array(left, np.int64) << 20 | np.array(right, np.int64)
         to = np.array(to, np.int64)
@@ -180,8 +181,8 @@ class Encoder:
         return out
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        """One long piece: each round merges every pair of least rank, from the left. A merger's own pairs rank behind
-        it, as ranks are the order in which tokens were made, so this is the same as one pair at a time."""
+        """One long piece: each round merges every pair of least rank, from the left. As a merger's own pairs rank behind
+        it, this is the same as one pair at a time."""
         ids = self.byte[np.frombuffer(piece, np.uint8)]
         while len(ids) > 1:
             rank = self.pairs.rank(ids[:-1], ids[1:])
