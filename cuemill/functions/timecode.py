@@ -43,16 +43,19 @@ def parse_ms(c: Column) -> Column:
 
 
 def timecode_ms(c: Column) -> Column:
-    """Clean and parse in one expression: one regular expression on the usual path."""
-    groups = F.regexp_extract_all(ascii_digits(c), F.lit(TIMECODE_PATTERN), F.lit(1))
-    hit = F.get(groups, F.lit(0))
-    colon = F.instr(hit, ":")
-    usual = (
-        F.substring(hit, F.lit(1), colon - 1).try_cast("bigint") * 60000
-        + F.substring(hit, colon + 1, F.lit(2)).try_cast("bigint") * 1000
-        + F.substring(F.rpad(F.substring(hit, colon + 4, F.lit(3)), 3, "0"), 1, 3).try_cast("bigint")
-    )
-    return F.when(hit.isNotNull(), usual).otherwise(parse_ms(ascii_digits(c)))
+    """Clean and parse in one expression. The usual path runs the regular expression once: what it found is bound to a
+    variable, as a plain expression would be evaluated again at each use inside a condition."""
+
+    def usual(hit: Column) -> Column:
+        colon = F.instr(hit, ":")
+        return (
+            F.substring(hit, F.lit(1), colon - 1).try_cast("bigint") * 60000
+            + F.substring(hit, colon + 1, F.lit(2)).try_cast("bigint") * 1000
+            + F.substring(F.rpad(F.substring(hit, colon + 4, F.lit(3)), 3, "0"), 1, 3).try_cast("bigint")
+        )
+
+    found = F.regexp_extract_all(ascii_digits(c), F.lit(TIMECODE_PATTERN), F.lit(1))
+    return F.coalesce(F.get(F.transform(found, usual), F.lit(0)), parse_ms(ascii_digits(c)))
 
 
 def format_timecode(ms: Column) -> Column:
