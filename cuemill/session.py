@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -34,18 +35,25 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application, so that it needn't be installed on the executors.
-    The driver serves the archive; nothing is read from a folder of an executor's machine."""
+    """Give the Python workers this package, once per application, so that it needn't be installed on the executors. The
+    archive lies in the shared folder; on a cluster without one the package has to be installed."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    root = Path(__file__).parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="cuemill-"), "cuemill.zip")
-    with zipfile.ZipFile(archive, "w") as z:
+    _shipped.add(sc.applicationId)
+    try:
+        target = f"{shared_dir(spark)}/cuemill-{uuid.uuid4().hex}.zip"
+    except RuntimeError:
+        return
+    root, packed = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(archive)
-    _shipped.add(sc.applicationId)
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)  # the shared folder may be of any file system
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(target)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
