@@ -94,4 +94,16 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_verdicts": p3_verdicts, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
-SQL: dict[str, str] = {}
+
+#: Every window of 80 characters compared with every other: right on any table, but slow on large ones.
+_SPANS = """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 80 AND doc_id IS NOT NULL),
+p AS (SELECT doc_id, text, unnest(range(length(text) - 79)) AS i FROM d),
+w AS (SELECT doc_id, i, substring(text, i::INT + 1, 80) AS s FROM p),
+k AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS l FROM w WHERE s IN (SELECT s FROM k)),
+g AS (SELECT doc_id, i, sum(CASE WHEN l IS NULL OR i > l + 80 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h),
+r AS (SELECT doc_id, min(i) AS from_char, max(i) + 80 AS to_char FROM g GROUP BY doc_id, n)"""
+SQL = {
+    "p8_found": f"{_SPANS} SELECT doc_id, from_char, to_char FROM r",
+    "p8_share": f"{_SPANS} SELECT doc_id, count(*) AS n_ranges, sum(to_char - from_char)::BIGINT AS shared_chars, sum(to_char - from_char) / any_value(length(text))::DOUBLE AS shared_part FROM r JOIN d USING (doc_id) GROUP BY doc_id",
+}

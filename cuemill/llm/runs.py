@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -76,6 +77,23 @@ def misspelt(a: str, b: str) -> bool:
     return i + 1 < len(a) and a[i] == b[i + 1] and a[i + 1] == b[i] and a[i + 2 :] == b[i + 2 :]
 
 
+def alike(a: str, b: str) -> bool:
+    """Spellings of one word: misspelt in some form, or misspelt twice, by a swap and by a swap or a letter left out."""
+    x, y = _plain(a), _plain(b)
+    if misspelt(x, y) or misspelt(a, b) or misspelt(_REPEAT.sub(r"\1", a), _REPEAT.sub(r"\1", b)):
+        return True
+    short, long = sorted((_REPEAT.sub(r"\1", a), _REPEAT.sub(r"\1", b)), key=len)
+    if min(len(x), len(y)) < 5 or len(long) - len(short) > 2 or Counter(short) - Counter(long):
+        return False  # a letter of its own makes another word
+    for u, v in ((a, y), (b, x)):
+        for i in range(len(u) - 1):
+            if u[i] != u[i + 1]:
+                t = _plain(u[:i] + u[i + 1] + u[i] + u[i + 2 :])
+                if t == v or misspelt(t, v):
+                    return True
+    return False
+
+
 def same_utterance(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     if a == b:
         return True
@@ -89,7 +107,7 @@ def same_utterance(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     if len(a) != len(b) or len(a) < 2:
         return False
     odd = [i for i in range(len(a)) if x[i] != y[i]]
-    return len(odd) <= 2 and all(misspelt(x[i], y[i]) or misspelt(a[i], b[i]) for i in odd)
+    return len(odd) <= 2 and all(alike(a[i], b[i]) for i in odd)
 
 
 RUN_SCHEMA = "part int, edge int, entity string, version int, first_pos int, last_pos int, n bigint, from_ms bigint, to_ms bigint, head string, tail string"

@@ -58,11 +58,11 @@ def test_empty(spark):
 SAME = [
     ("Wait!", "WAIT…"), ("T-They swear it", "They swear it"), ("Olvido... Olvido un mapa", "olvido un mapa"), ("T-They, T-They rinse a cup", "They rinse a cup"), ("sooner than planneeeed", "Sooner than planned"),
     ("千っ、千日のあいだ渡る", "千日のあいだ渡る"), ("待…待合室で灯している", "待合室で 灯しているーーー"), ("１３回描いている", "13回描いている."), ("Ｔｏｄａｖíａ ｎｏ", "todavía no"), ("waehrend der Parade", "während der Parade"),
-    ("Strasse am See", "Straße am See"), ("a curtain of velvt", "a curtain of velvet"), ("Er flikct die Zeitung", "Er flickt die Zeitung"), ("「待って」", "待って"), ("♪", "♪"), ("durante reucerdo un vaso", "durante recuerdo un vaso"),
+    ("Strasse am See", "Straße am See"), ("a curtain of velvt", "a curtain of velvet"), ("Er flikct die Zeitung", "Er flickt die Zeitung"), ("「待って」", "待って"), ("♪", "♪"), ("since yestedray noon", "since yetserday noon"), ("die muede Burecke", "die müde Brücke"), ("durante reucerdo un vaso", "durante recuerdo un vaso"),
 ]
 OTHER = [
     ("a barco de papel", "a banco de papel"), ("13 times", "14 times"), ("11 mal", "1 mal"), ("北風を", "南風を"), ("私の影", "君の影"), ("the third evening", "the first evening"), ("Wir gehen heim", "Ihr gehen heim"), ("bitteren Tee", "bitteren See"),
-    ("I inter the door", "inter the door"), ("No. Nothing", "thing"), ("♪", "…"),
+    ("I inter the door", "inter the door"), ("No. Nothing", "thing"), ("♪", "…"), ("el caballo de", "el cabello de"), ("eine müde Biene", "eine müde Birne"),
 ]
 
 
