@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ident
+from ..functions import ident, media
 from ..operators import policy, retain, search
 from ..session import table
 from ..settings import Settings, masked_json
@@ -95,6 +95,16 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(0.3,), (0.7,), (1.0,), (1.9,), (3.0,)], "qps double").select("qps", requests.alias("requests"), seconds.alias("seconds"))
 
 
+def media_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a probe would say of each segment, read back: duration, frame rate and tolerance."""
+    s = table(spark, sf_dir, "segment").select("segment_name", "seg_idx", "duration_ms").distinct()
+    rate = F.element_at(F.array(*[F.lit(x) for x in ("30000/1001", "25", "1/2", "0/0")]), (F.col("seg_idx") % 4 + 1).cast("int"))
+    p = s.select("segment_name", "duration_ms", F.concat(F.floor(F.col("duration_ms") / 1000).cast("string"), F.lit("."), F.lpad((F.col("duration_ms") % 1000).cast("string"), 3, "0"), F.lit("9")).alias("seconds"), media.frame_rate(rate).alias("fps"))
+    return p.select(
+        "segment_name", media.duration_ms(F.col("seconds")).alias("probed_ms"), "fps", media.tolerance_ms(100, F.col("fps")).alias("tolerance_ms"), media.key_frame_distance(F.col("fps")).alias("key_frames"), media.at_least_mib(F.col("duration_ms") * 70, 20.0).alias("large")
+    )
+
+
 #: Model names in the forms that occur; combined with the parts below.
 PREFIXES, TIERS, SUFFIXES = ("google-gla:gemini-", "gemini-", "openai:gpt-", "claude-"), ("flash-lite", "flash", "pro", "ultra"), ("", "-preview", "-exp", "_001")
 
@@ -130,6 +140,7 @@ QUERIES = {
     "backoff": backoff,
     "rate_windows": rate_windows,
     "shortcodes": shortcodes,
+    "media_probe": media_probe,
     "settings_mask": settings_mask,
 }
 
@@ -172,6 +183,8 @@ SELECT remote_name, size_bytes FROM m, t WHERE total - before + 1000 > floor(tot
     "backoff": """SELECT policy, attempt, wait_s, sum(wait_s) OVER (PARTITION BY policy ORDER BY attempt) AS total_s FROM (
 SELECT 'agent' AS policy, i::INT AS attempt, least(300.0, 30.0 * 2 ** i)::DOUBLE AS wait_s FROM range(5) t(i) UNION ALL SELECT 'search', i::INT, least(10.0, 1.0 * 2 ** i)::DOUBLE FROM range(3) t(i))""",
     "rate_windows": "SELECT qps, CASE WHEN qps < 1 THEN 1 ELSE floor(qps) END::INT AS requests, CASE WHEN qps < 1 THEN ceil(1 / qps) ELSE 1 END::INT AS seconds FROM (VALUES (0.3::DOUBLE), (0.7), (1.0), (1.9), (3.0)) t(qps)",
+    "media_probe": """WITH s AS (SELECT DISTINCT segment_name, duration_ms, (ARRAY[30000 / 1001.0::DOUBLE, 25.0::DOUBLE, 0.5::DOUBLE, NULL])[seg_idx % 4 + 1] AS fps FROM segment)
+SELECT segment_name, trunc((duration_ms // 1000 || '.' || lpad((duration_ms % 1000)::VARCHAR, 3, '0') || '9')::DOUBLE * 1000)::BIGINT AS probed_ms, fps, 100 + CASE WHEN fps < 1 THEN floor(1000 / fps)::BIGINT ELSE 0 END AS tolerance_ms, floor(fps * 10)::INT AS key_frames, duration_ms * 70 / 1048576.0::DOUBLE >= 20.0 AS large FROM s""",
     "shortcodes": f"""WITH m AS (SELECT p_partkey, {_pick(PREFIXES, 1)} AS prefix, (p_partkey % 4 + 1)::VARCHAR AS a, (p_partkey % 7)::VARCHAR AS b, {_pick(TIERS, 4)} AS tier, {_pick(SUFFIXES, 16)} AS suffix FROM part),
 k AS (SELECT p_partkey, prefix || a || '.' || b || '-' || tier || suffix AS model, {_CODE} AS code FROM m)
 SELECT p_partkey, model, code, code || '-09' AS lyrics_tag, code || '-0918' AS subtitles_tag FROM k""",

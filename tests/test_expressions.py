@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cuemill.functions import ident, text, timecode
+from cuemill.functions import ident, media, text, timecode
 
 
 def values(spark, rows, f, schema="x string"):
@@ -73,3 +73,16 @@ def test_names_and_hashes(spark):
     forms = [h, h.upper(), base64.b64encode(h.encode()).decode(), base64.b64encode(bytes.fromhex(h)).decode(), None, "", "nonsense"]
     assert values(spark, forms, lambda c: ident.hashes_match(c, F.lit(h))) == [True] * 4 + [False] * 3
     assert values(spark, forms, ident.hash_key) == [h] * 4 + [None] * 3
+
+
+def test_media(spark):
+    assert values(spark, ["300.0459", "x", None], media.duration_ms) == [300045, None, None]
+    assert values(spark, ["30000/1001", "25", "0/0", "5/", "x", None], media.frame_rate) == [30000 / 1001, 25.0, None, None, None, None]
+    fps = spark.createDataFrame([(0.3,), (1.0,), (30.0,), (None,)], "x double")
+    assert [r[0] for r in fps.select(media.tolerance_ms(100, F.col("x"))).collect()] == [3433, 100, 100, 100]
+    n = spark.createDataFrame([(1000, 1199, 2), (1000, 1200, 2), (None, 1, 1)], "a int, b int, n int")
+    assert [r[0] for r in n.select(media.split_reusable(F.col("a"), F.col("b"), F.col("n"), 100)).collect()] == [True, False, None]
+    size = spark.createDataFrame([(20 << 20,), ((20 << 20) - 1,)], "s bigint")
+    assert [tuple(r) for r in size.select(media.at_least_mib(F.col("s"), 20), media.at_least_mib(F.col("s"), 0)).collect()] == [(True, True), (False, True)]
+    same = fps.limit(1).select(media.same_stream(F.lit(1000), F.lit(1100), F.lit(1.0), F.lit(1.005), F.lit(100)), media.bits_per_second(F.lit(35)))
+    assert tuple(same.first()) == (True, 286720)
