@@ -274,8 +274,9 @@ class Matcher:
             ):
                 ok = np.flatnonzero(((x < xe) & (y < ye)) if step > 0 else ((x > xe) & (y > ye)))
                 near[ok] = np.maximum(near[ok], self._run(codes, flat, x[ok], y[ok], xe[ok], ye[ok], step))
-        average = self.per - 2  # runs of a stretch at the limit are this long on average, or longer
-        likely = np.flatnonzero((run > self.per) | (run + near >= 2 * average - 2))
+        edits = self.least // self.per
+        average = (self.least - edits) / (edits + 1)  # of the runs in the shortest stretch with all the edits allowed
+        likely = np.flatnonzero((run > self.per) | (run + near >= 1.65 * average))
         for r in likely.tolist():
             t, n = int(text[pos[r]]), int(item[r])
             if (t, self.items[n]) in out:
