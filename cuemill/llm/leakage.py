@@ -214,11 +214,22 @@ def _extend(a: np.ndarray, i: int, b: np.ndarray, j: int, step: int, most: int)
 
 
 class Matcher:
-    """Which passages a text holds: at least ``least`` running symbols with at most one edit in ``per``."""
+    """Which passages a text holds: at least ``least`` running symbols with at most one edit in ``per``.
+
+    The pre-filter loses nothing. A stretch of twice ``least`` or more can be halved, and a half has no more edits in
+    proportion; while it is longer than ``least`` and than ``per`` times its edits, a symbol at its end can be left out. So
+    each stretch holds one of max(least, per * t) symbols with t edits, 2 * least > per * t, and in it a piece without edit.
+    If one of its t + 1 exact runs is longer than ``bare``, that run has a whole piece and is a hit. If none is,
+    ``steps`` + 1 neighbouring ones with the hit among them have all equal symbols but those of t - ``steps`` runs.
+    """
 
     def __init__(self, items: list[int], passages: list[np.ndarray], m: int, block: int, least: int, per: int):
         self.items, self.least, self.per = items, least, per
         self.wm = WuManber(passages, m, block)
+        self.bare = 2 * m - 2  # longest run that may have no whole piece
+        most = (2 * least - 1) // per
+        self.steps = most // 2
+        self.bound = min(max(least, per * t) - t - max(0, t - self.steps) * self.bare for t in range(most + 1))
 
     def _runs(self, codes, bounds, pos, item, where):
         """Lengths of the exact runs around the hits, to the left and the right, up to ``least``; all hits side by side."""
@@ -243,6 +254,23 @@ class Matcher:
             n[live] += 1
         return n
 
+    def _reach(self, codes, x, y, xe, ye, step, run) -> list[np.ndarray]:
+        """Furthest-reaching: symbols of the passages covered from ``x``, ``y`` on with 0, 1, ... ``steps`` edits; all hits side by side."""
+        n, m = step * (xe - x), step * (ye - y)
+        out, reach = [run], {0: run}  # diagonal (text minus passage) -> symbols of the passage, negative: not to be reached
+        for d in range(1, self.steps + 1):
+            new = {}
+            for k in range(-d, d + 1):
+                got = np.max([reach[j] + add for j, add in ((k, 1), (k + 1, 1), (k - 1, 0)) if j in reach], axis=0)
+                got = np.minimum(got, np.minimum(m, n - k))
+                got[(got < 0) | (got + k < 0)] = -len(codes) - self.least
+                ok = np.flatnonzero(got >= 0)
+                got[ok] += self._run(codes, self.wm.flat, x[ok] + step * (got[ok] + k), y[ok] + step * got[ok], xe[ok], ye[ok], step)
+                new[k] = got
+            reach = new
+            out.append(np.maximum(out[-1], np.max(list(reach.values()), axis=0)))
+        return out
+
     def found(self, codes: np.ndarray, text: np.ndarray) -> set[tuple[int, int]]:
         """(text number, item) for each text of a stream."""
         pos, item, where = self.wm.search(codes)
@@ -261,22 +289,15 @@ class Matcher:
         pos, item, where, left, right, first, last = (x[uniq] for x in (pos, item, where, left, right, first, last))
         run = left + right
         out = {(int(t), self.items[i]) for t, i in zip(text[pos[run >= self.least]], item[run >= self.least])}
-        # a stretch with edits has a run of more than `per`, or one whose neighbour behind one or two edits is long too
         rest = np.flatnonzero(run < self.least)
         pos, item, where, left, right, first, last, run = (x[rest] for x in (pos, item, where, left, right, first, last, run))
-        near = np.zeros(len(pos), np.int64)
-        flat, base = self.wm.flat, self.wm.base
-        for dx, dy in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
-            q = base[item] + where
-            for step, x, y, xe, ye in (
-                (1, pos + right + dx, q + right + dy, last, base[item + 1]),
-                (-1, pos - left - 1 - dx, q - left - 1 - dy, first - 1, base[item] - 1),
-            ):
-                ok = np.flatnonzero(((x < xe) & (y < ye)) if step > 0 else ((x > xe) & (y > ye)))
-                near[ok] = np.maximum(near[ok], self._run(codes, flat, x[ok], y[ok], xe[ok], ye[ok], step))
-        edits = self.least // self.per
-        average = (self.least - edits) / (edits + 1)  # of the runs in the shortest stretch with all the edits allowed
-        likely = np.flatnonzero((run > self.per) | (run + near >= 1.65 * average))
+        likely = run > self.bare
+        if len(low := np.flatnonzero(~likely)):
+            x, q = pos[low], self.wm.base[item[low]] + where[low]
+            r = self._reach(codes, x, q, last[low], self.wm.base[item[low] + 1], 1, right[low])
+            l = self._reach(codes, x - 1, q - 1, first[low] - 1, self.wm.base[item[low]] - 1, -1, left[low])
+            likely[low] = np.max([r[d] + l[self.steps - d] for d in range(self.steps + 1)], axis=0) >= self.bound
+        likely = np.flatnonzero(likely)
         for r in likely.tolist():
             t, n = int(text[pos[r]]), int(item[r])
             if (t, self.items[n]) in out:

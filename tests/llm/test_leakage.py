@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cuemill.llm.leakage import WuManber, leaked_items, strip_markup, symbols
+from cuemill.llm.leakage import Matcher, WuManber, leaked_items, strip_markup, symbols
 
 RNG = random.Random(8)
 WORDS = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(2, 8))) for _ in range(900)]
@@ -77,6 +77,31 @@ def test_quotations(spark):
     assert run(spark, docs, PASSAGES) == want
 
 
+def test_the_only_whole_piece_beside_short_runs(spark):
+    """24 words with three edits: runs of 5, 4, 8 and 4; the run of 8 has no whole piece."""
+    q = PASSAGES[2][1].split()[:24]
+    for k in (5, 10, 19):
+        q[k] = "uh"
+    assert run(spark, [(1, text_with(q))], PASSAGES) == {(1, PASSAGES[2][0])}
+
+
+def test_prefilter_loses_nothing():
+    rng = random.Random(5)
+    for least, per, m, block in ((20, 8, 5, 2), (60, 15, 10, 3)):
+        passages = [np.array([n * 1000 + i for i in range(4 * least)], np.uint64) for n in range(2)]
+        matcher = Matcher([0, 1], passages, m, block, least, per)
+        rest = np.uint64(10**6)
+        for _ in range(1500):
+            t = rng.randint(1, (2 * least - 1) // per)
+            long = max(least, per * t)
+            at = rng.randrange(0, 4 * least - long + 1)
+            q = list(map(int, passages[1][at : at + long]))
+            for k in sorted(rng.sample(range(1, long - 1), t), reverse=True):
+                q[k : k + 1] = rng.choice(([10**6], [], [q[k], 10**6]))
+            codes = matcher.wm.code(np.concatenate([np.full(30, rest), np.array(q, np.uint64), np.full(30, rest)]))
+            assert matcher.found(codes, np.zeros(len(codes), np.int32)) == {(0, 1)}, (t, at, q)
+
+
 def test_empty_sides(spark):
     assert run(spark, [], PASSAGES[:2]) == set()
     assert run(spark, [(1, PASSAGES[0][1])], []) == set()
