@@ -44,6 +44,9 @@ _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _LINE_STOP = re.compile(r"[,.;:!?。、，．！？…][\"'”’»」』)\]）】]*$")
 _EDGE = " \t\r\n.,;:!?。、，．！？…\"'”’»「」『』()（）　"
 
+#: Bytes of the longest character.
+UTF8 = 4
+
 VALUE, LINE, TOKEN = 0, 1, 2
 _SCHEMA = (
     "kind int, table_name string, record_id bigint, field_name string, source string, chars bigint, bytes bigint, digest string, state string, expects int, "
@@ -189,11 +192,15 @@ def _scan(batches):
 
 
 def _limits(values: DataFrame, share: float, least: int) -> DataFrame:
-    """``table_name, source, unit, size``: the lengths at which a source cuts, in ``chars``, ``bytes`` or, where cuts go
-    back to a word's end, ``near``. An exact length counts that at least ``share`` of the source's distinct texts have
+    """``table_name, source, unit, size``: the lengths at which a source cuts, in ``chars``, ``bytes``, where cuts go back to a
+    word's end ``near``, and where they go back to a character's end ``cut``. An exact length counts that at least ``share`` of the source's distinct texts have
     with an unfinished end, ``least`` or more, a strong part of all texts of its neighbourhood, and that few texts exceed.
-    A near length counts if a tenth of the source's unfinished texts lie within 4 characters of it, and few are longer."""
-    whole = values.groupBy("table_name", "source", "digest").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"), F.max(F.when(F.col("state") != "done", 1).otherwise(0)).alias("odd"))
+    A near length counts if a tenth of the source's unfinished texts lie within 4 characters of it, and few are longer.
+
+    A source that cuts on bytes without splitting a character stops up to 3 bytes below its limit. Its ``cut``, one a source, is
+    derived from all unfinished texts in [limit - 3, limit]: they must be ``share`` of its texts, and among those that have
+    characters of several bytes and don't stop at a limit in characters, ``least`` and half of the neighbourhood."""
+    whole = values.groupBy("table_name", "source", "digest").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"), F.max(F.when(F.col("state") != "done", 1).otherwise(0)).alias("odd"), F.max(F.when(F.col("state").isin("open", "ellipsis"), 1).otherwise(0)).alias("loose"))
     by_unit = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in ("chars", "bytes")])
     by = whole.select("table_name", "source", "odd", F.explode(by_unit).alias("x")).groupBy("table_name", "source", "x.unit", "x.size").agg(F.count("*").alias("n"), F.sum("odd").alias("odd"))
     every = whole.groupBy("table_name", "source").agg(F.count("*").alias("texts"), F.sum("odd").alias("odd_texts"))
@@ -206,7 +213,16 @@ def _limits(values: DataFrame, share: float, least: int) -> DataFrame:
     exact = bins.where((F.col("odd") >= least) & (F.col("odd") >= share * F.col("texts")) & (F.col("n") * 8 >= F.col("bin_n")) & F.expr("longer <= greatest(2, 0.3 * n)"))
     near = bins.where((F.col("unit") == "chars") & (F.col("odd_near") > least) & (F.col("odd_near") * 10 >= F.col("odd_texts")) & F.expr("longer <= greatest(2, 0.3 * odd_near)"))
     cols = ["table_name", "source", "unit", "size"]
-    return exact.select(*cols).unionByName(near.withColumn("unit", F.lit("near")).select(*cols))
+    by_chars = exact.where("unit = 'chars'").select("table_name", "source", F.col("size").alias("chars"), F.lit(1).alias("by_chars"))
+    wide = F.when((F.col("loose") == 1) & (F.col("bytes") > F.col("chars")) & F.col("by_chars").isNull(), 1).otherwise(0)
+    steps = whole.join(by_chars, ["table_name", "source", "chars"], "left").groupBy("table_name", "source", F.col("bytes").alias("size")).agg(F.count("*").alias("n"), F.sum("loose").alias("loose"), F.sum(wide).alias("wide"))
+    sizes = Window.partitionBy("table_name", "source").orderBy("size")
+    below, about = sizes.rangeBetween(1 - UTF8, 0), sizes.rangeBetween(-23, 16)
+    steps = steps.withColumns({"longer": F.coalesce(F.sum("n").over(sizes.rangeBetween(12, Window.unboundedFollowing)), F.lit(0)), "n_below": F.sum("loose").over(below), "wide_below": F.sum("wide").over(below), "wide_about": F.sum("wide").over(about)})
+    steps = steps.where("size >= 40").join(every, ["table_name", "source"])
+    strong = (F.col("wide_below") >= least) & (F.col("n_below") >= share * F.col("texts")) & (F.col("wide_below") * 2 >= F.col("wide_about")) & (F.col("wide") * 8 >= F.col("wide_below")) & F.expr("longer <= greatest(2, 0.3 * n_below)")
+    cut = steps.where(strong).groupBy("table_name", "source").agg(F.max_by("size", F.struct("wide_below", -F.col("size"))).alias("size"))
+    return exact.select(*cols).unionByName(near.withColumn("unit", F.lit("near")).select(*cols)).unionByName(cut.withColumn("unit", F.lit("cut")).select(*cols))
 
 
 def truncated(values: DataFrame, share: float = 0.015, least: int = 4) -> DataFrame:
@@ -229,10 +245,11 @@ def truncated(values: DataFrame, share: float = 0.015, least: int = 4) -> DataFr
     by_source = fair.groupBy("table_name", "field_name", "source").agg(F.avg(F.when(F.col("state") == "done", 1.0).otherwise(0.0)).alias("source_done"), F.count("*").alias("_n"))
     by_source = by_source.where("_n >= 30").drop("_n")
     doubt = value.where("state in ('ellipsis', 'open')").drop("kind", "ends", "total", "digest")
-    lim = limits.groupBy("table_name", "source").pivot("unit", ["chars", "bytes", "near"]).agg(F.collect_set("size"))
-    doubt = doubt.join(lim.select("table_name", "source", F.col("chars").alias("l_chars"), F.col("bytes").alias("l_bytes"), F.col("near").alias("l_near")), ["table_name", "source"], "left")
+    lim = limits.groupBy("table_name", "source").pivot("unit", ["chars", "bytes", "near", "cut"]).agg(F.collect_set("size"))
+    doubt = doubt.join(lim.select("table_name", "source", F.col("chars").alias("l_chars"), F.col("bytes").alias("l_bytes"), F.col("near").alias("l_near"), F.array_max("cut").alias("l_cut")), ["table_name", "source"], "left")
     doubt = doubt.withColumn("near_limit", F.coalesce(F.array_contains("l_near", F.col("chars")), F.lit(False))).drop("l_near")
-    doubt = doubt.withColumn("at_limit", F.coalesce(F.array_contains("l_chars", F.col("chars")), F.lit(False)) | F.coalesce(F.array_contains("l_bytes", F.col("bytes")), F.lit(False))).drop("l_chars", "l_bytes")
+    at_cut = F.coalesce((F.col("l_cut") - F.col("bytes")).between(0, UTF8 - 1), F.lit(False))
+    doubt = doubt.withColumn("at_limit", F.coalesce(F.array_contains("l_chars", F.col("chars")), F.lit(False)) | F.coalesce(F.array_contains("l_bytes", F.col("bytes")), F.lit(False)) | at_cut).drop("l_chars", "l_bytes", "l_cut")
     doubt = doubt.join(by_field, ["table_name", "field_name"], "left").join(by_source, ["table_name", "field_name", "source"], "left").join(known, "line", "left")
     one = token.select("last1", F.col("ends").alias("e1"), F.col("total").alias("t1"))
     two = token.select(F.col("last1").alias("last2"), F.col("ends").alias("e2"), F.col("total").alias("t2"))

@@ -65,6 +65,28 @@ def test_limits_words_and_decoys(spark):
     assert {k: got[k] for k in free if k in got} == {}
 
 
+def test_byte_limit_that_splits_no_character(spark):
+    """Most texts stop at 300 bytes, those in kana at 298 to 300; a source that cuts at 100 characters has no such slack."""
+    kana = [chr(c) for c in range(0x3042, 0x3092)]
+    song = lambda n: "\n".join("".join(RNG.choice(kana) for _ in range(RNG.randint(9, 17))) + "x" * RNG.randint(0, 2) for _ in range(n))
+    rows, want, free = [], set(), set()
+    for i in range(150):
+        rows.append(("a", i, "og", "bytes.test", "\n".join(line() for _ in range(9))[:300]))
+        rows.append(("c", i, "og", "chars.test", song(9)[:100]))
+    for i in range(150, 192):
+        whole = song(12)
+        cut = whole.encode()[:300].decode(errors="ignore")
+        rows.append(("a", i, "og", "bytes.test", cut))
+        if cut.split("\n")[-1] not in ["", *whole.split("\n")]:
+            want.add(("a", i))
+        rows += [("a", 1000 + i, "og", "bytes.test", song(RNG.randint(2, 5))), ("c", i, "og", "chars.test", "".join(RNG.choice(kana) for _ in range(20)) + "\n" + "y" * RNG.randint(20, 34))]
+        free |= {("a", 1000 + i), ("c", i)}
+    assert {len(r[4].encode()) for r in rows if (r[0], r[1]) in want} == {298, 299, 300}
+    got = run(spark, rows)
+    assert {k for k in want if got.get(k) != "limit"} == set()
+    assert {k: got[k] for k in free if k in got} == {}
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
