@@ -110,8 +110,8 @@ def same_utterance(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return len(odd) <= 2 and all(alike(a[i], b[i]) for i in odd)
 
 
-RUN_SCHEMA = "part int, edge int, entity string, version int, first_pos int, last_pos int, n bigint, from_ms bigint, to_ms bigint, head string, tail string"
-_TYPES = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+RUN_SCHEMA = "part int, edge int, entity string, version int, first_pos int, last_pos int, n bigint, from_ms bigint, to_ms bigint, seq int, head string, forms array<string>"
+_TYPES = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()))
 #: bits of edge: the run holds the first, the last event of its partition; the row only says how the partition ends or begins
 FIRST, LAST = 1, 2
 
@@ -125,9 +125,10 @@ def _scan(batches):
     names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
     known: dict = {}
     entity = version = last_pos = last_key = None
-    spoken = []  # the forms of the entity's open run, a few distinct ones
-    run = None  # the open run: [entity, version, first, last, n, from, to, head text, tail text, edge]
-    fresh = True
+    spoken: dict = {}  # the distinct forms of the entity's open run, each with a text that has it
+    run = None  # the open run: [entity, version, first, last, n, from, to, number, head text, forms, edge]
+    lead = None  # entity and version of the partition's first event
+    made = 0
 
     def words(text):
         if text not in known:
@@ -137,8 +138,8 @@ def _scan(batches):
         return known[text]
 
     def row(r):
-        edge = r[9]
-        return (part, edge, *r[:7], r[7] if edge & FIRST else None, r[8] if edge & LAST else None)
+        told = r[10] or (r[0], r[1]) == lead  # what a run torn before this partition may be compared with
+        return (part, r[10], *r[:8], r[8] if told else None, list(r[9].values()) if told else None)
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
@@ -147,10 +148,10 @@ def _scan(batches):
         if not b.num_rows:
             continue
         ent, ver, pos, key, text = (b.column(c).to_pylist() for c in ("entity", "version", "pos", "row_key", "text"))
-        keep, begins, who = [], [], []
+        keep, begins, who, forms = [], [], [], []
         for i in range(len(ent)):
             if ent[i] != entity:
-                entity, version, last_key, spoken = ent[i], ver[i], None, []
+                entity, version, last_key, spoken = ent[i], ver[i], None, {}
                 new = True
             elif ver[i] != version or (pos[i], key[i]) == last_key:
                 continue  # a superseded version, or the same record delivered again
@@ -158,13 +159,14 @@ def _scan(batches):
                 new = False
             last_key = (pos[i], key[i])
             now = words(text[i])
-            begin = new or now is None or not any(same_utterance(x, now) for x in spoken)
+            begin = new or now is None or not (now in spoken or any(same_utterance(x, now) for x in spoken))
             if begin:
-                spoken = [now] if now is not None else []
-            elif now not in spoken:
-                spoken = [*spoken[-3:], now]
+                spoken = {}
+            if now is not None:
+                spoken.setdefault(now, text[i])
             begins.append(begin)
             who.append(now is not None)
+            forms.append(spoken)
             keep.append(i)
         if not keep:
             continue
@@ -177,46 +179,63 @@ def _scan(batches):
         for k in range(len(bounds) - 1):
             x, y = int(bounds[k]), int(bounds[k + 1])
             i, j = int(keep[x]), int(keep[y - 1])
-            piece = [ent[i], ver[i], pos[i], pos[j], y - x if who[x] else 0, None, None, text[i], text[j], 0]
+            piece = [ent[i], ver[i], pos[i], pos[j], y - x if who[x] else 0, None, None, made, text[i], forms[x], 0]
             for v, w in zip(lo[x:y], hi[x:y]):
                 piece[5], piece[6] = _least(piece[5], v), _least(piece[6], w, max)
             if run_of[x] < 0:
-                run[3], run[4], run[8] = piece[3], run[4] + piece[4], piece[8]
+                run[3], run[4] = piece[3], run[4] + piece[4]
                 run[5], run[6] = _least(run[5], piece[5]), _least(run[6], piece[6], max)
                 continue
-            if run is not None and (run[4] > 0 or run[9]):
+            if run is not None and (run[4] > 0 or run[10] or (run[0], run[1]) == lead):
                 out.append(row(run))
-            run = piece
-            if fresh:
-                run[9], fresh = FIRST, False
+            run, made = piece, made + 1
+            if lead is None:
+                run[10], lead = FIRST, (run[0], run[1])
         if out:
             yield batch(out)
     if run is not None:
-        run[9] |= LAST
+        run[10] |= LAST
         yield batch([row(run)])
 
 
-def _joined(edges: list) -> list[tuple]:
-    """Joins the runs at the edges of neighbouring partitions; drops versions superseded in an earlier partition."""
-    done, open_run, top = [], None, None
+def _joined(edges: list, run_at: Callable[[int, int], dict | None]) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Joins the runs at the edges of neighbouring partitions; drops versions superseded in an earlier partition.
+
+    A torn run is compared as inside a partition, by all its forms; if it goes on over a partition's first run, the next
+    ones (``run_at(part, seq)``) are compared too. Second result: ``part, seq`` of the runs that came to a torn one so.
+    """
+    done, taken, open_run, top = [], [], None, None
+
+    def goes_on(r):
+        """Whether r belongs to the open run; it is added then."""
+        now = utterance(r["head"])
+        if now is None or not (now in forms or any(same_utterance(x, now) for x in forms)):
+            return False
+        forms.update(map(utterance, r["forms"]))
+        open_run["last_pos"], open_run["n"] = r["last_pos"], open_run["n"] + r["n"]
+        open_run["from_ms"], open_run["to_ms"] = _least(open_run["from_ms"], r["from_ms"]), _least(open_run["to_ms"], r["to_ms"], max)
+        return True
+
+    forms: set = set()
     for r in sorted((x.asDict() for x in edges), key=lambda x: (x["part"], -(x["edge"] & FIRST))):
-        if top and top[0] == r["entity"] and top[1] != r["version"]:
+        if (top and top[0] == r["entity"] and top[1] != r["version"]) or (r["part"], r["seq"]) in taken:
             continue
         top = (r["entity"], r["version"])
-        now = utterance(r["head"]) if r["edge"] & FIRST else None
-        was = utterance(open_run["tail"]) if open_run else None
-        if r["edge"] & FIRST and open_run and open_run["entity"] == r["entity"] and now and was and same_utterance(was, now):
-            open_run["last_pos"], open_run["n"], open_run["tail"] = r["last_pos"], open_run["n"] + r["n"], r["tail"]
-            open_run["from_ms"], open_run["to_ms"] = _least(open_run["from_ms"], r["from_ms"]), _least(open_run["to_ms"], r["to_ms"], max)
+        last = r["edge"] & LAST
+        if r["edge"] & FIRST and open_run and open_run["entity"] == r["entity"] and goes_on(r):
+            seq = r["seq"]
+            while not last and (x := run_at(r["part"], seq + 1)) and (x["entity"], x["version"]) == top and goes_on(x):
+                seq, last = x["seq"], x["edge"] & LAST
+                taken.append((r["part"], seq))
         else:
             if open_run:
                 done.append(open_run)
-            open_run = r
-        if not r["edge"] & LAST:
+            open_run, forms = r, {u for u in map(utterance, r["forms"]) if u is not None}
+        if not last:
             done.append(open_run)
             open_run = None
     done += [open_run] if open_run else []
-    return [tuple(x[k] for k in ("entity", "version", "first_pos", "last_pos", "n", "from_ms", "to_ms")) for x in done if x["n"]]
+    return [tuple(x[k] for k in ("entity", "version", "first_pos", "last_pos", "n", "from_ms", "to_ms")) for x in done if x["n"]], taken
 
 
 def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str, start: str, end: str, key: str, read_time: Callable[[Column], Column] = lambda c: c) -> DataFrame:
@@ -244,10 +263,14 @@ def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str,
     ranged = ranged.withColumns({c: read_time(F.col(c)).cast("bigint") for c in ("start_ms", "end_ms")})
     runs = materialise(ranged.mapInArrow(_scan, RUN_SCHEMA), "runs")
     # at most two rows per partition of the sort
-    edges = _joined(runs.where("edge > 0").collect())
+    run_at = lambda part, seq: next((x.asDict() for x in runs.where(f"part = {part} and seq = {seq}").collect()), None)
+    edges, taken = _joined(runs.where("edge > 0").collect(), run_at)
     schema = "entity string, version int, first_pos int, last_pos int, n bigint, from_ms bigint, to_ms bigint"
     torn = F.broadcast(_superseded(runs))
-    whole = runs.where("edge = 0 and n > 0").join(torn, ["part", "entity", "version"], "left_anti").select("entity", "version", "first_pos", "last_pos", "n", "from_ms", "to_ms")
+    whole = runs.where("edge = 0 and n > 0").join(torn, ["part", "entity", "version"], "left_anti")
+    if taken:
+        whole = whole.join(F.broadcast(spark.createDataFrame(taken, "part int, seq int")), ["part", "seq"], "left_anti")
+    whole = whole.select("entity", "version", "first_pos", "last_pos", "n", "from_ms", "to_ms")
     return whole.unionByName(spark.createDataFrame(edges, schema))
 
 

@@ -51,6 +51,29 @@ def test_one_run_over_all_partitions(spark):
     assert run(spark, rows) == [("a", 1, 0, 499, 500, 0, 500)]
 
 
+RNG = random.Random(3)
+FORMS = ["the silver bridge was open", *(f"the {x} bridge was open" for x in ("siver", "silvr", "silve", "ilver", "slver"))]
+
+
+def test_the_clean_form_stays_among_many_misspelt_ones(spark):
+    order = [0, 1, 2, 3, 4, 5, 1, 0, 3]  # misspelt ones are alike only by the clean one
+    rows = [("a", 1, k, k, FORMS[i], k, k + 1) for k, i in enumerate(order)]
+    assert [x[2:5] for x in run(spark, rows)] == [(0, 8, 9)]
+
+
+@pytest.mark.parametrize("parts", ["1", "2", "5", "9"])
+def test_torn_runs_are_compared_by_all_their_forms(spark, parts):
+    order = [0, 1, 2, 3, 4, 5] + [RNG.choice([1, 2, 3, 4, 5]) for _ in range(60)]
+    rows = [("a", 1, k, k, FORMS[i], k, k + 1) for k, i in enumerate(order)]
+    rows += [("a", 1, 66, 66, None, 0, 1), ("a", 1, 67, 67, FORMS[1], 0, 1), ("a", 1, 68, 68, "another cue", 0, 1)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert [x[2:5] for x in run(spark, rows)] == [(0, 65, 66), (67, 67, 1), (68, 68, 1)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
