@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field that isn't, or not only, content, with what was found in it."""
-    return residue(table(spark, sf_dir, "scene"), "scene_id", LYRICS).select(F.col("record_id").alias("scene_id"), "field_name", F.array_join("verdict", ",").alias("verdicts"))
+    return residue(table(spark, sf_dir, "scene"), "scene_id", LYRICS, spread=["song_title", "lyrics_site"]).select(F.col("record_id").alias("scene_id"), "field_name", F.array_join("verdict", ",").alias("verdicts"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Template residue, filler, error pages and script notices instead of real content.
 
-Method: messages that sites and tools put in place of content repeat with varying parts, so lines are mined for templates
-with a prefix tree of fixed depth: a line, its numbers, hosts and hexadecimal ids masked, goes down by its number of tokens
-and its first tokens to a leaf, where it joins the first template that agrees in enough tokens; disagreeing tokens become
-wildcards. Trees are grown where the lines lie, over distinct lines only, and merged leaf by leaf. Each template is then
-classified once, and its verdict goes back to every line, and so to every field, that it matches. Unresolved slots are
-looked for separately in all lines, since they occur inside ordinary ones.
+Method: messages that sites and tools put in place of content repeat with varying parts, so message templates are mined with
+a prefix tree of fixed depth: a line, its numbers, hosts and hexadecimal ids masked, goes down by its kind, its number of
+tokens and its first tokens to a leaf, where it joins the first template that agrees in enough tokens; disagreeing tokens
+become wildcards. Trees are grown where the lines lie, over distinct lines only, and merged leaf by leaf.
+
+A template is judged once. One whose lines have the words of a message (the seeds below) is a message by these: the
+kind is part of the path down the tree, so that a message never joins a lyric that begins alike. Any other template is
+judged by where it stands: its lines are whole fields, for different songs or sites, at least twice as often as they stand
+among other lines, which lyrics, headings and notes don't. Its verdict goes to every line it matches, so also to
+those amid real lyrics. Unresolved slots are looked for separately in all lines, since they occur inside ordinary ones.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,9 @@ from ..session import materialise
 WILD = "<*>"
 DEPTH = 3
 SIMILAR = 0.6
+#: Lines of the longest error page that is taken as a whole.
+PAGE = 4
+_URL, _HOST, _HEX = r"https?://\S+", r"\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|io)\b", r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b"
 
 # ---- fixed values: how unfilled slots are written -------------------------------------------------------------------
 _NAME = r"[A-Za-z_][\w.]*(?: ?\| ?\w+)?"
@@ -166,7 +173,7 @@ def classify(template: str) -> str | None:
     words = re.findall(r"[^\W\d_]+", s)
     if len(words) >= 4 and sum(w in LATIN_FILLER for w in words) >= 0.75 * len(words):
         return "filler"
-    if words and all(w in FILLER_WORDS for w in words) and any(len(w) >= 5 and ord(w[0]) > 0x3000 for w in words):
+    if words and all(w in FILLER_WORDS for w in words) and (len(words) > 1 and not s.startswith(("[", "(")) or any(len(w) >= 5 and ord(w[0]) > 0x3000 for w in words)):
         return "filler"
     unit = next((k for k in range(1, 5) if words[k:] == words[:-k]), None)  # a phrase of up to four words over and over
     if unit and not set(words) <= SUNG and len(words) >= unit * (3 if set(words) <= FILLER_WORDS else 6) and len(words) >= 4:
@@ -174,47 +181,59 @@ def classify(template: str) -> str | None:
     return None
 
 
+#: Marks of what editors add to lyrics: headings, notes, rules. No template of these is a message.
+_ADDED = re.compile(r"^(?:[\[(*~=_\-–—#♪].*|.*translat.*|.*[:：])$")
+
+
 class Leaf:
-    """Templates of one leaf of the prefix tree."""
+    """Templates of one leaf of the prefix tree, found by the tokens they have at a place, so that a leaf with many
+    templates isn't searched through for each line."""
 
     def __init__(self):
-        self.templates: list[list] = []  # [tokens, count, longest masked example]
-
-    def add(self, tokens: list[str], n: int, example: str):
-        for t in self.templates:
-            same = sum(a == b for a, b in zip(t[0], tokens))
-            wild = sum(a == WILD for a in t[0])
-            if same + wild >= SIMILAR * len(tokens) and same >= 0.5 * len(tokens):
-                t[0] = [a if a == b else WILD for a, b in zip(t[0], tokens)]
-                t[1] += n
+        self.templates: list[list[str]] = []
+        self.at: dict[tuple[int, str], list[int]] = {}
+
+    def add(self, tokens: list[str]) -> None:
+        votes = Counter(i for p, t in enumerate(tokens) for i in self.at.get((p, t), ()))
+        for i in sorted(votes):  # the first that agrees enough
+            mine = self.templates[i]
+            same = sum(a == b != WILD for a, b in zip(mine, tokens))
+            if same >= 0.5 * len(tokens) and same + sum(a == WILD for a in mine) >= SIMILAR * len(tokens):
+                for p, (a, b) in enumerate(zip(mine, tokens)):
+                    if a != b and a != WILD:
+                        mine[p] = WILD
+                        self.at[p, a].remove(i)
                 return
-        self.templates.append([tokens, n, example])
+        for p, t in enumerate(tokens):
+            if t != WILD:
+                self.at.setdefault((p, t), []).append(len(self.templates))
+        self.templates.append(list(tokens))
+
+
+def leaf_key(tokens: list[str], kind: str | None = None) -> str:
+    return "\x1f".join([kind or "", str(len(tokens)), *tokens[:DEPTH]])
 
 
-def leaf_key(tokens: list[str]) -> str:
-    return "\x1f".join([str(len(tokens)), *tokens[:DEPTH]])
+_TREE = "leaf string, kind string, tokens array<string>"
+_TREE_TYPES = (pa.string(), pa.string(), pa.list_(pa.string()))
 
 
-_TREE = "leaf string, tokens array<string>, n bigint, example string"
-_TREE_TYPES = (pa.string(), pa.list_(pa.string()), pa.int64(), pa.string())
+def _batch(rows: list[tuple], schema: str, types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in schema.split(", ")])
 
 
-def _rows(leaves: dict[str, Leaf]) -> pa.RecordBatch:
-    rows = [(k, t, n, e) for k, leaf in leaves.items() for t, n, e in leaf.templates]
-    cols = list(zip(*rows)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TREE_TYPES)], [x.split()[0] for x in _TREE.split(", ")])
+def _rows(leaves: dict[str, tuple]) -> pa.RecordBatch:
+    return _batch([(k, kind, t) for k, (kind, leaf) in leaves.items() for t in leaf.templates], _TREE, _TREE_TYPES)
 
 
 def _grow(batches):
-    """Local trees over distinct masked lines; handed on and begun anew when they have grown large."""
-    leaves: dict[str, Leaf] = {}
+    """Local trees over distinct masked lines of messages; handed on and begun anew when they have grown large."""
+    leaves: dict[str, tuple] = {}
     held = 0
     for b in batches:
-        for line, n in zip(b.column("masked").to_pylist(), b.column("n").to_pylist()):
+        for line, kind in zip(b.column("masked").to_pylist(), b.column("kind").to_pylist()):
             tokens = line.split()
-            if not tokens:
-                continue
-            leaves.setdefault(leaf_key(tokens), Leaf()).add(tokens, n, line)
+            leaves.setdefault(leaf_key(tokens, kind), (kind, Leaf()))[1].add(tokens)
             held += 1
         if held > 200_000:
             yield _rows(leaves)
@@ -224,56 +243,91 @@ def _grow(batches):
 
 
 def _merge(batches):
-    leaves: dict[str, Leaf] = {}
+    """Rows come sorted by leaf: a leaf is handed on as soon as the next one begins."""
+    key, kind, leaf, out = None, None, Leaf(), []
     for b in batches:
-        for k, t, n, e in zip(*(b.column(c).to_pylist() for c in ("leaf", "tokens", "n", "example"))):
-            leaves.setdefault(k, Leaf()).add(t, n, e)
-    if leaves:
-        yield _rows(leaves)
+        for k, c, t in zip(*(b.column(x).to_pylist() for x in ("leaf", "kind", "tokens"))):
+            if k != key:
+                out += [(key, kind, x) for x in leaf.templates]
+                key, kind, leaf = k, c, Leaf()
+                if len(out) > 5_000:
+                    yield _batch(out, _TREE, _TREE_TYPES)
+                    out = []
+            leaf.add(t)
+    out += [(key, kind, x) for x in leaf.templates]
+    if out:
+        yield _batch(out, _TREE, _TREE_TYPES)
 
 
 def lines_of(text: Column) -> Column:
     """Lines of a text; the literal escapes of line breaks count as line breaks."""
     breaks = F.replace(F.replace(text, F.lit("\\r"), F.lit("\r")), F.lit("\\n"), F.lit("\n"))
-    return F.filter(F.transform(F.split(breaks, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(breaks, r"[\r\n]+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def masked(line: Column) -> Column:
-    out = F.regexp_replace(line, r"https?://\S+", "<url>")
-    out = F.regexp_replace(out, r"\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|io)\b", "<host>")
-    out = F.regexp_replace(out, r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b", "<hex>")
-    return F.regexp_replace(out, r"\d+", "<n>")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, _URL, "<url>"), _HOST, "<host>"), _HEX, "<hex>")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\d+", "<n>"), r"(?U)\s+", " "))
 
 
 def mine_templates(lines: DataFrame) -> DataFrame:
-    """``leaf, tokens, n, example``: templates of the distinct masked lines (``masked, n``) of a corpus; a template's
-    wildcards are ``<*>``. A leaf's lines are first merged where they lie, so that a frequent
-    beginning sends its templates, not its lines, to the task that merges the leaf."""
+    """``leaf, kind, tokens``: templates of the distinct masked lines (``masked, kind``) that may be messages; a template's
+    wildcards are ``<*>``. A leaf's lines are first merged where they lie, so that a frequent beginning sends its
+    templates, not its lines, to the task that merges the leaf."""
     local = lines.mapInArrow(_grow, _TREE)
-    return local.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "example").mapInArrow(_merge, _TREE)
+    return local.repartition("leaf").sortWithinPartitions("leaf", F.array_join("tokens", " ")).mapInArrow(_merge, _TREE)
+
+
+def _matches(tokens: Column, template: Column) -> Column:
+    return F.forall(F.zip_with(tokens, template, lambda a, b: (a == b) | (b == WILD)), lambda x: x)
 
 
-def residue(df: DataFrame, record_id: str, fields: list[str]) -> DataFrame:
+def residue(df: DataFrame, record_id: str, fields: list[str], spread: list[str] | None = None, seeds: bool = True) -> DataFrame:
     """``record_id, field_name, verdict``: each field that holds, wholly or in part, an unfilled slot ('slot'), filler, a
-    stand-in, an error message or a notice that scripts are required; the verdicts of a field in a sorted array.
+    stand-in, an error message, a notice that scripts are required, or another message ('message') in place of its
+    content; the verdicts of a field in a sorted array.
 
-    Null, empty and blank fields are no cases. Rows delivered again give one row, rows with a null id none.
+    Null, empty and blank fields are no cases. Rows delivered again give one row, rows with a null id none. ``spread``: the
+    columns (song, site) of which a message without known words must have at least two values, where it is a whole
+    field; the record's id if not given. ``seeds=False`` judges by where templates stand alone, without any word list.
     """
-    wide = df.select(df[record_id].alias("record_id"), *[df[f].cast("string").alias(f) for f in fields]).where(F.col("record_id").isNotNull())
-    values = wide.unpivot("record_id", fields, "field_name", "text").where("text is not null").distinct()
-    lines = values.select("record_id", "field_name", F.explode(lines_of(F.col("text"))).alias("line"))
-    lines = materialise(lines.select("record_id", "field_name", "line", masked(F.col("line")).alias("masked")), "lines")
-    slots = lines.where(F.col("line").rlike(SLOT)).select("record_id", "field_name", F.lit("slot").alias("verdict"))
-    templates = mine_templates(lines.groupBy("masked").agg(F.count("*").alias("n")))
-
-    @F.pandas_udf("string")
-    def verdict(example: pd.Series) -> pd.Series:
-        return example.map(classify)
-
-    # each template is classified once, by its first line and by itself
-    bad = templates.withColumn("verdict", verdict("example")).where("verdict is not null").select("leaf", "tokens", "verdict")
-    keyed = lines.withColumn("t", F.filter(F.split("masked", r"\s+"), lambda x: x != ""))
-    keyed = keyed.withColumn("leaf", F.array_join(F.concat(F.array(F.size("t").cast("string")), F.slice("t", 1, DEPTH)), "\x1f"))
-    hit = keyed.join(bad, "leaf").where(F.forall(F.zip_with("t", "tokens", lambda a, b: (a == b) | (b == WILD)), lambda x: x))
-    said = hit.select("record_id", "field_name", "verdict")
-    return slots.unionByName(said).groupBy("record_id", "field_name").agg(F.sort_array(F.collect_set("verdict")).alias("verdict"))
+    by = F.concat_ws("\x1f", *[F.coalesce(df[c].cast("string"), F.lit("")) for c in spread]) if spread else df[record_id].cast("string")
+    wide = df.select(df[record_id].alias("record_id"), by.alias("spread"), *[df[f].cast("string").alias(f) for f in fields]).where(F.col("record_id").isNotNull())
+    values = wide.unpivot(["record_id", "spread"], fields, "field_name", "text").where("text is not null")
+    listed = values.select("record_id", "field_name", "spread", lines_of(F.col("text")).alias("lines"))
+    # a page of a few lines that names its request or host is a whole field of one message too
+    page = (F.size("lines") <= PAGE) & F.exists("lines", lambda x: x.rlike(rf"{_URL}|{_HOST}|{_HEX}"))
+    lines = listed.select("record_id", "field_name", "spread", ((F.size("lines") == 1) | page).alias("whole"), F.explode("lines").alias("line"))
+    # from here on distinct lines: what a field's lines are worth comes back to them at the end
+    where = F.when(F.col("whole"), F.col("spread"))
+    counts = [F.count("*").alias("n"), F.count(where).alias("n_whole"), F.min(where).alias("lo"), F.max(where).alias("hi")]
+    distinct = lines.groupBy("line").agg(*counts)
+    distinct = materialise(distinct.select("*", masked(F.col("line")).alias("masked"), F.col("line").rlike(SLOT).alias("slot")), "lines")
+    forms = distinct.groupBy("masked").agg(F.sum("n").alias("n"), F.sum("n_whole").alias("n_whole"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def kinds(batches):
+        for b in batches:
+            text = b.column("masked").to_pylist()
+            kind = [classify(x) if seeds else None for x in text]
+            added = [bool(_ADDED.match(x)) for x in text]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(kind, pa.string()), pa.array(added)], [*b.schema.names, "kind", "added"])
+
+    forms = materialise(forms.mapInArrow(kinds, "masked string, n bigint, n_whole bigint, lo string, hi string, kind string, added boolean").where("masked <> ''"), "forms")
+    templates = mine_templates(forms.where("kind is not null or (n_whole > 0 and not added)").select("masked", "kind"))
+    templates = materialise(templates.withColumn("template", F.xxhash64("leaf", "tokens")), "templates")
+    keyed = forms.where("not added or kind is not null").withColumn("t", F.split("masked", " "))
+
+    def leaf(kind: Column) -> Column:
+        return F.array_join(F.concat(F.array(kind, F.size("t").cast("string")), F.slice("t", 1, DEPTH)), "\x1f")
+
+    # templates without known words: judged by all lines they match
+    bare = keyed.where("kind is null").withColumn("leaf", leaf(F.lit(""))).join(templates.where("kind is null").select("leaf", "tokens", "template"), "leaf").where(_matches(F.col("t"), F.col("tokens")))
+    stands = bare.groupBy("template").agg(F.sum("n").alias("n"), F.sum("n_whole").alias("n_whole"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    alone = stands.where("n_whole * 3 >= n * 2 and lo <> hi").select("template")
+    bad = keyed.where("kind is not null").select("masked", F.col("kind").alias("verdict"))
+    # seeded templates by their own verdict; their wildcards reach lines without known words only where they stand alone too
+    bad = bad.unionByName(bare.join(alone, "template", "left_semi").select("masked", F.lit("message").alias("verdict")))
+    said = distinct.join(bad, "masked").select("line", "verdict").unionByName(distinct.where("slot").select("line", F.lit("slot").alias("verdict")))
+    # few lines are bad: their table is written, so that its size is known and Spark sends it around only if it is small
+    said = materialise(said.distinct(), "residue")
+    return lines.select("record_id", "field_name", "line").join(said, "line").groupBy("record_id", "field_name").agg(F.sort_array(F.collect_set("verdict")).alias("verdict"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cuemill.llm.template import Leaf, classify, residue
@@ -51,6 +53,46 @@ def test_content_is_no_case(x):
 
 def test_leaf_makes_wildcards():
     leaf = Leaf()
-    for x in ("a b c d", "a b c e", "a x y z"):
-        leaf.add(x.split(), 1, x)
-    assert leaf.templates[0][:2] == [["a", "b", "c", "<*>"], 2] and len(leaf.templates) == 2
+    for x in ("a b c d", "a b c e", "a x y z", "a b c f"):
+        leaf.add(x.split())
+    assert leaf.templates == [["a", "b", "c", "<*>"], ["a", "x", "y", "z"]]
+
+
+@pytest.mark.parametrize("errors, lyrics", [(1, 1), (3, 1), (1, 5), (4, 4)])
+def test_a_message_and_a_lyric_that_begin_alike(spark, errors, lyrics):
+    """Neither takes the other's verdict, whichever is more frequent."""
+    pairs = [("Something went wrong on our side", "Something went wrong on our wedding"), ("You need to enable JavaScript", "You need to leave tonight")]
+    rows, want = [], {}
+    for message, lyric in pairs:
+        for k in range(errors):
+            rows.append((len(rows), message, f"We sing\n{lyric}\nall night {k}"))
+            want[(len(rows) - 1, "og")] = ["error" if "wrong" in message else "notice"]
+        for k in range(lyrics):
+            rows.append((len(rows), f"{lyric}\nand so we sing {k}", None))
+    assert run(spark, rows) == want
+
+
+#: Messages that no list knows, with the parts that vary.
+UNSEEN = [
+    "Error 10{n}: proxy gave up after {n} ms", "Erreur {n} : page introuvable", "This site can't be reached ({n})", "Texto de relleno {n}", "Sorry, {h} took too long to respond", "Your session {x} has expired, sign in again", "Cloud edge {n} says no. Ray {x}", "Verify you are human, case {x}",
+    "We moved! Find us at {h}", "Contenu indisponible, code {n}", "Limite de {n} pages atteinte", "Quota used up: {n} of {n}", "このサイトは一時停止中 {n}", "Licence for these words ran out on {n}", "Seite wird gerade umgebaut, Vorgang {n}", "This copy was removed after a claim ({x})",
+]
+MORE_LYRICS = ["We count {n} stars above the station", "You wait for {n} letters", "Halgri carries {n} apples home", "I call the number {n} again", "Erase page {n} of my diary"]
+
+
+def test_unseen_messages_with_numbers_and_slots(spark):
+    """Templates without known words are found by where they stand, alone and amid lyrics, in at least 0.9 of the fields."""
+    rng = random.Random(5)
+    fill = lambda t: t.replace("{n}", str(rng.randrange(100, 999))).replace("{x}", f"{rng.randrange(1 << 40):010x}0a1").replace("{h}", f"h{rng.randrange(99)}.example")
+    rows, want = [], set()
+    for t in UNSEEN:
+        for _ in range(4):
+            rows.append((len(rows), fill(t), None))
+            want.add(len(rows) - 1)
+        rows.append((len(rows), "\n".join([fill(MORE_LYRICS[0]), fill(t), fill(MORE_LYRICS[2])]), None))
+        want.add(len(rows) - 1)
+    for _ in range(60):
+        rows.append((len(rows), "\n".join(map(fill, rng.sample(MORE_LYRICS, 4))), None))
+    rows += [(len(rows), fill(MORE_LYRICS[0]), None)]  # cut to one line, and still a lyric
+    got = {k for k, _ in run(spark, rows)}
+    assert got <= want and len(got) >= 0.9 * len(want)
