@@ -60,6 +60,9 @@ SLOT = "|".join(
     )
 )
 
+#: What every slot has in it; a quick look before the long one.
+SLOT_SIGN = r"[{<%_@\[]|INSERT |xxx |TBD |TODO|undefined by"
+
 # ---- fixed values: words of the messages ----------------------------------------------------------------------------
 #: What a failed page says, in the languages of the sites, as whole messages.
 ERRORS = (
@@ -266,8 +269,9 @@ def lines_of(text: Column) -> Column:
 
 
 def masked(line: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, _URL, "<url>"), _HOST, "<host>"), _HEX, "<hex>")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\d+", "<n>"), r"(?U)\s+", " "))
+    named = F.when(F.contains(line, F.lit(".")), F.regexp_replace(F.regexp_replace(line, _URL, "<url>"), _HOST, "<host>")).otherwise(line)
+    out = F.when(line.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, _HEX, "<hex>"), r"\d+", "<n>")).otherwise(named)
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
 def mine_templates(lines: DataFrame) -> DataFrame:
@@ -291,7 +295,7 @@ def residue(df: DataFrame, record_id: str, fields: list[str], spread: list[str]
     columns (song, site) of which a message without known words must have at least two values, where it is a whole
     field; the record's id if not given. ``seeds=False`` judges by where templates stand alone, without any word list.
     """
-    by = F.concat_ws("\x1f", *[F.coalesce(df[c].cast("string"), F.lit("")) for c in spread]) if spread else df[record_id].cast("string")
+    by = F.xxhash64(*[df[c] for c in spread or [record_id]])
     wide = df.select(df[record_id].alias("record_id"), by.alias("spread"), *[df[f].cast("string").alias(f) for f in fields]).where(F.col("record_id").isNotNull())
     values = wide.unpivot(["record_id", "spread"], fields, "field_name", "text").where("text is not null")
     listed = values.select("record_id", "field_name", "spread", lines_of(F.col("text")).alias("lines"))
@@ -302,7 +306,7 @@ def residue(df: DataFrame, record_id: str, fields: list[str], spread: list[str]
     where = F.when(F.col("whole"), F.col("spread"))
     counts = [F.count("*").alias("n"), F.count(where).alias("n_whole"), F.min(where).alias("lo"), F.max(where).alias("hi")]
     distinct = lines.groupBy("line").agg(*counts)
-    distinct = materialise(distinct.select("*", masked(F.col("line")).alias("masked"), F.col("line").rlike(SLOT).alias("slot")), "lines")
+    distinct = materialise(distinct.select("*", masked(F.col("line")).alias("masked"), (F.col("line").rlike(SLOT_SIGN) & F.col("line").rlike(SLOT)).alias("slot")), "lines")
     forms = distinct.groupBy("masked").agg(F.sum("n").alias("n"), F.sum("n_whole").alias("n_whole"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
     def kinds(batches):
@@ -312,7 +316,7 @@ def residue(df: DataFrame, record_id: str, fields: list[str], spread: list[str]
             added = [bool(_ADDED.match(x)) for x in text]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(kind, pa.string()), pa.array(added)], [*b.schema.names, "kind", "added"])
 
-    forms = materialise(forms.mapInArrow(kinds, "masked string, n bigint, n_whole bigint, lo string, hi string, kind string, added boolean").where("masked <> ''"), "forms")
+    forms = materialise(forms.mapInArrow(kinds, "masked string, n bigint, n_whole bigint, lo bigint, hi bigint, kind string, added boolean").where("masked <> ''"), "forms")
     templates = mine_templates(forms.where("kind is not null or (n_whole > 0 and not added)").select("masked", "kind"))
     templates = materialise(templates.withColumn("template", F.xxhash64("leaf", "tokens")), "templates")
     keyed = forms.where("not added or kind is not null").withColumn("t", F.split("masked", " "))
