@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timecode import timecode_ms
+from ..plans.timeline import ms_sql, strip_sql
 from ..session import table
 from .bilingual import aligned_lines
 from .leakage import leaked_items
@@ -54,8 +55,8 @@ def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("table_name", "source", "n_values", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), (F.coalesce("n_cut", F.lit(0)) / F.col("n_values")).alias("cut_share"))
 
 
-def _cue_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapse_runs(table(spark, sf_dir, "cue"), "segment_name", "attempt", "pos", "original", "start_tc", "end_tc", "cue_id", read_time=timecode_ms)
+def _cue_runs(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    return collapse_runs(table(spark, sf_dir, "cue"), "segment_name", "attempt", "pos", "original", "start_tc", "end_tc", "cue_id", read_time=timecode_ms, exact=exact)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,11 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of cues alike letter by letter, single ones included, with the number of their cues and the time they span."""
+    return _cue_runs(spark, sf_dir, exact=True).select(F.col("entity").alias("segment_name"), "first_pos", "last_pos", F.col("n").alias("n_cues"), "from_ms", "to_ms")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -93,7 +99,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(docs, "doc_id").select("doc_id", "n_ranges", "shared_chars", (F.col("shared_chars") / F.col("chars")).alias("shared_part"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_verdicts": p3_verdicts, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_runs": p5_runs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_verdicts": p3_verdicts, "p4_found": p4_found, "p4_sources": p4_sources, "p5_found": p5_found, "p5_runs": p5_runs, "p5_exact": p5_exact, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_share": p8_share}
 
 #: Every window of 80 characters compared with every other: right on any table, but slow on large ones.
 _SPANS = """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 80 AND doc_id IS NOT NULL),
@@ -103,7 +109,13 @@ k AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 h AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS l FROM w WHERE s IN (SELECT s FROM k)),
 g AS (SELECT doc_id, i, sum(CASE WHEN l IS NULL OR i > l + 80 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h),
 r AS (SELECT doc_id, min(i) AS from_char, max(i) + 80 AS to_char FROM g GROUP BY doc_id, n)"""
+_RUNS = f"""WITH c AS (SELECT DISTINCT segment_name, attempt, pos, cue_id, original, start_tc, end_tc FROM cue WHERE segment_name IS NOT NULL AND attempt IS NOT NULL AND pos IS NOT NULL),
+top AS (SELECT segment_name, max(attempt) AS attempt FROM c GROUP BY segment_name),
+t AS (SELECT segment_name, pos, cue_id, CASE WHEN {strip_sql("original")} <> '' THEN original END AS x, {ms_sql("start_tc")} AS s, {ms_sql("end_tc")} AS e FROM c JOIN top USING (segment_name, attempt)),
+b AS (SELECT *, lag(x) OVER (PARTITION BY segment_name ORDER BY pos, cue_id::VARCHAR) AS before FROM t),
+g AS (SELECT *, sum(CASE WHEN x = before THEN 0 ELSE 1 END) OVER (PARTITION BY segment_name ORDER BY pos, cue_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS n FROM b)"""
 SQL = {
+    "p5_exact": f"{_RUNS} SELECT segment_name, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_cues, min(s) AS from_ms, max(e) AS to_ms FROM g WHERE x IS NOT NULL GROUP BY segment_name, n",
     "p8_found": f"{_SPANS} SELECT doc_id, from_char, to_char FROM r",
     "p8_share": f"{_SPANS} SELECT doc_id, count(*) AS n_ranges, sum(to_char - from_char)::BIGINT AS shared_chars, sum(to_char - from_char) / any_value(length(text))::DOUBLE AS shared_part FROM r JOIN d USING (doc_id) GROUP BY doc_id",
 }

@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,20 +95,38 @@ def alike(a: str, b: str) -> bool:
     return False
 
 
+class Form:
+    """An utterance with what comparing it needs, worked out once."""
+
+    __slots__ = ("words", "plain", "joined", "bound")
+
+    def __init__(self, words: tuple[str, ...]):
+        self.words = words
+        #: Only equal ones are the same: lone signs, and text in kana.
+        self.bound = not words[0] or bool(_KANA.search(words[0]))
+        self.plain = () if self.bound else tuple(map(_plain, words))
+        self.joined = "".join(self.plain)
+
+    def same(self, other: Form) -> bool:
+        if self.words == other.words:
+            return True
+        if self.bound or other.bound:
+            return False
+        if self.joined == other.joined:
+            return True
+        a, b = self.words, other.words
+        if len(a) != len(b) or len(a) < 2:
+            return False
+        odd = [i for i, (x, y) in enumerate(zip(self.plain, other.plain)) if x != y]
+        return len(odd) <= 2 and all(alike(a[i], b[i]) for i in odd)
+
+
+def _letter_by_letter(text: str | None) -> tuple[str, ...] | None:
+    return ("", text) if text and text.strip() else None
+
+
 def same_utterance(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    if a == b:
-        return True
-    if not a[0] or not b[0]:
-        return False
-    if _KANA.search(a[0]) or _KANA.search(b[0]):
-        return False
-    x, y = [_plain(w) for w in a], [_plain(w) for w in b]
-    if "".join(x) == "".join(y):
-        return True
-    if len(a) != len(b) or len(a) < 2:
-        return False
-    odd = [i for i in range(len(a)) if x[i] != y[i]]
-    return len(odd) <= 2 and all(alike(a[i], b[i]) for i in odd)
+    return Form(a).same(Form(b))
 
 
 RUN_SCHEMA = "part int, edge int, entity string, version int, first_pos int, last_pos int, n bigint, from_ms bigint, to_ms bigint, seq int, head string, forms array<string>"
@@ -116,30 +135,45 @@ _TYPES = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(
 FIRST, LAST = 1, 2
 
 
+_FAR = np.iinfo(np.int64).max
+
+
 def _least(a, b, f=min):
     return b if a is None else a if b is None else f(a, b)
 
 
-def _scan(batches):
+def _codes(column: pa.Array) -> tuple[np.ndarray, list]:
+    """Number of each row's value, -1 for null, and the values."""
+    d = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
+    return pc.fill_null(d.indices, -1).to_numpy(zero_copy_only=False), d.dictionary.to_pylist()
+
+
+def _times(column: pa.Array, rows: np.ndarray, empty: int) -> np.ndarray:
+    return pc.fill_null(column, empty).to_numpy(zero_copy_only=False)[rows]
+
+
+def _scan(batches, read=utterance):
     part = TaskContext.get().partitionId()
     names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
-    known: dict = {}
-    entity = version = last_pos = last_key = None
-    spoken: dict = {}  # the distinct forms of the entity's open run, each with a text that has it
+    known: dict[str, Form | None] = {}
+    entity = version = None
+    last = None  # position and key of the last row
+    spoken: dict[tuple, tuple[Form, str]] = {}  # the distinct forms of the open run, each with a text that has it
     run = None  # the open run: [entity, version, first, last, n, from, to, number, head text, forms, edge]
     lead = None  # entity and version of the partition's first event
     made = 0
 
-    def words(text):
+    def form(text):
         if text not in known:
             if len(known) > 50_000:
                 known.clear()
-            known[text] = utterance(text)
+            words = read(text)
+            known[text] = Form(words) if words else None
         return known[text]
 
     def row(r):
         told = r[10] or (r[0], r[1]) == lead  # what a run torn before this partition may be compared with
-        return (part, r[10], *r[:8], r[8] if told else None, list(r[9].values()) if told else None)
+        return (part, r[10], *r[:8], r[8] if told else None, [t for _, t in r[9].values()] if told else None)
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
@@ -147,48 +181,50 @@ def _scan(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        ent, ver, pos, key, text = (b.column(c).to_pylist() for c in ("entity", "version", "pos", "row_key", "text"))
-        keep, begins, who, forms = [], [], [], []
-        for i in range(len(ent)):
-            if ent[i] != entity:
-                entity, version, last_key, spoken = ent[i], ver[i], None, {}
-                new = True
-            elif ver[i] != version or (pos[i], key[i]) == last_key:
-                continue  # a superseded version, or the same record delivered again
-            else:
-                new = False
-            last_key = (pos[i], key[i])
-            now = words(text[i])
-            begin = new or now is None or not (now in spoken or any(same_utterance(x, now) for x in spoken))
-            if begin:
+        (ent, ent_of), (key, key_of), (text, text_of) = (_codes(b.column(c)) for c in ("entity", "row_key", "text"))
+        ver, pos = (b.column(c).to_numpy(zero_copy_only=False) for c in ("version", "pos"))
+        # an entity's first row has its highest version; rows alike in position and key are the same record
+        new = np.concatenate([[ent_of[ent[0]] != entity], ent[1:] != ent[:-1]])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(ent)), 0))
+        top = np.where((head == 0) & ~new[0], version if version is not None else 0, ver[head])
+        again = np.concatenate([[not new[0] and last == (ver[0], pos[0], key_of[key[0]] if key[0] >= 0 else None)], (ent[1:] == ent[:-1]) & (ver[1:] == ver[:-1]) & (pos[1:] == pos[:-1]) & (key[1:] == key[:-1])])
+        keep = np.flatnonzero((ver == top) & ~again)
+        entity, version, last = ent_of[ent[-1]], int(top[-1]), (ver[-1], pos[-1], key_of[key[-1]] if key[-1] >= 0 else None)
+        if not len(keep):
+            continue
+        # where a text isn't the one before it in its entity a run may start; there forms are compared
+        said = text[keep]
+        forms_of = [form(x) for x in text_of]
+        number: dict = {}
+        kind = np.array([number.setdefault(f.words, k) if f else -1 for k, f in enumerate(forms_of)] + [-1])[said]
+        whose = ent[keep]
+        first = np.concatenate([[run is None or ent_of[whose[0]] != run[0]], whose[1:] != whose[:-1]])
+        may = np.flatnonzero(first | (kind < 0) | np.concatenate([[True], kind[1:] != kind[:-1]]))
+        starts, forms = [], []
+        for i in may.tolist():
+            now = forms_of[said[i]] if kind[i] >= 0 else None
+            if first[i] or now is None or not (now.words in spoken or any(x.same(now) for x, _ in spoken.values())):
                 spoken = {}
+                starts.append(i)
+                forms.append(spoken)
             if now is not None:
-                spoken.setdefault(now, text[i])
-            begins.append(begin)
-            who.append(now is not None)
-            forms.append(spoken)
-            keep.append(i)
-        if not keep:
-            continue
-        keep = np.array(keep)
-        start = np.flatnonzero(begins)  # sorted run-start positions of the chunk
+                spoken.setdefault(now.words, (now, text_of[said[i]]))
+        start = np.array(starts, np.int64)  # sorted run-start positions of the chunk
         run_of = np.searchsorted(start, np.arange(len(keep)), "right") - 1  # -1: goes on with the carried run
-        lo, hi = b.column("start_ms").take(pa.array(keep)).to_pylist(), b.column("end_ms").take(pa.array(keep)).to_pylist()
-        bounds = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1], [True]]))
+        bounds = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]]))
+        size = np.diff(np.append(bounds, len(keep)))
+        lo, hi = np.minimum.reduceat(_times(b.column("start_ms"), keep, _FAR), bounds), np.maximum.reduceat(_times(b.column("end_ms"), keep, -_FAR), bounds)
         out = []
-        for k in range(len(bounds) - 1):
-            x, y = int(bounds[k]), int(bounds[k + 1])
-            i, j = int(keep[x]), int(keep[y - 1])
-            piece = [ent[i], ver[i], pos[i], pos[j], y - x if who[x] else 0, None, None, made, text[i], forms[x], 0]
-            for v, w in zip(lo[x:y], hi[x:y]):
-                piece[5], piece[6] = _least(piece[5], v), _least(piece[6], w, max)
-            if run_of[x] < 0:
-                run[3], run[4] = piece[3], run[4] + piece[4]
-                run[5], run[6] = _least(run[5], piece[5]), _least(run[6], piece[6], max)
+        for x, n, v, w in zip(bounds.tolist(), size.tolist(), lo.tolist(), hi.tolist()):
+            i, j, k = int(keep[x]), int(keep[x + n - 1]), int(run_of[x])
+            n, v, w = n if kind[x] >= 0 else 0, None if v == _FAR else v, None if w == -_FAR else w
+            if k < 0:
+                run[3], run[4] = int(pos[j]), run[4] + n
+                run[5], run[6] = _least(run[5], v), _least(run[6], w, max)
                 continue
             if run is not None and (run[4] > 0 or run[10] or (run[0], run[1]) == lead):
                 out.append(row(run))
-            run, made = piece, made + 1
+            run, made = [ent_of[ent[i]], int(top[i]), int(pos[i]), int(pos[j]), n, v, w, made, text_of[text[i]] if text[i] >= 0 else None, forms[k], 0], made + 1
             if lead is None:
                 run[10], lead = FIRST, (run[0], run[1])
         if out:
@@ -198,7 +234,7 @@ def _scan(batches):
         yield batch([row(run)])
 
 
-def _joined(edges: list, run_at: Callable[[int, int], dict | None]) -> tuple[list[tuple], list[tuple[int, int]]]:
+def _joined(edges: list, run_at: Callable[[int, int], dict | None], read=utterance) -> tuple[list[tuple], list[tuple[int, int]]]:
     """Joins the runs at the edges of neighbouring partitions; drops versions superseded in an earlier partition.
 
     A torn run is compared as inside a partition, by all its forms; if it goes on over a partition's first run, the next
@@ -208,16 +244,16 @@ def _joined(edges: list, run_at: Callable[[int, int], dict | None]) -> tuple[lis
 
     def goes_on(r):
         """Whether r belongs to the open run; it is added then."""
-        now = utterance(r["head"])
+        now = read(r["head"])
         if now is None or not (now in forms or any(same_utterance(x, now) for x in forms)):
             return False
-        forms.update(map(utterance, r["forms"]))
+        forms.update(map(read, r["forms"]))
         open_run["last_pos"], open_run["n"] = r["last_pos"], open_run["n"] + r["n"]
         open_run["from_ms"], open_run["to_ms"] = _least(open_run["from_ms"], r["from_ms"]), _least(open_run["to_ms"], r["to_ms"], max)
         return True
 
     forms: set = set()
-    for r in sorted((x.asDict() for x in edges), key=lambda x: (x["part"], -(x["edge"] & FIRST))):
+    for r in sorted(edges, key=lambda x: (x["part"], -(x["edge"] & FIRST))):
         if (top and top[0] == r["entity"] and top[1] != r["version"]) or (r["part"], r["seq"]) in taken:
             continue
         top = (r["entity"], r["version"])
@@ -230,7 +266,7 @@ def _joined(edges: list, run_at: Callable[[int, int], dict | None]) -> tuple[lis
         else:
             if open_run:
                 done.append(open_run)
-            open_run, forms = r, {u for u in map(utterance, r["forms"]) if u is not None}
+            open_run, forms = r, {u for u in map(read, r["forms"]) if u is not None}
         if not last:
             done.append(open_run)
             open_run = None
@@ -238,7 +274,7 @@ def _joined(edges: list, run_at: Callable[[int, int], dict | None]) -> tuple[lis
     return [tuple(x[k] for k in ("entity", "version", "first_pos", "last_pos", "n", "from_ms", "to_ms")) for x in done if x["n"]], taken
 
 
-def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str, start: str, end: str, key: str, read_time: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str, start: str, end: str, key: str, read_time: Callable[[Column], Column] = lambda c: c, exact: bool = False) -> DataFrame:
     """One row per longest run of consecutive events with the same utterance in each entity's highest version.
 
     Result: entity, version, first_pos, last_pos, n (records), from_ms and to_ms (least start and greatest end of its
@@ -246,9 +282,12 @@ def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str,
     and end a run. Ties in ``pos`` are ordered by ``key``; rows alike in ``pos`` and ``key`` are one record. Rows
     with a null entity, version or position are left out; an empty table gives an empty result. Other columns aren't read.
     ``read_time`` turns a start or end into milliseconds; it is applied behind the sort, so that the sampling of the
-    sort's bounds doesn't have to evaluate it.
+    sort's bounds doesn't have to evaluate it. ``exact``: only texts alike letter by letter are the same utterance.
+
+    An event belongs to the open run if it is alike to any of the run's forms so far. Where a run is torn between partitions
+    its forms are carried on, so the number of partitions doesn't change the result.
     """
-    spark = df.sparkSession
+    spark, read = df.sparkSession, _letter_by_letter if exact else utterance
     slim = df.select(
         F.col(entity).cast("string").alias("entity"),
         F.col(version).cast("int").alias("version"),
@@ -261,27 +300,29 @@ def collapse_runs(df: DataFrame, entity: str, version: str, pos: str, text: str,
     order = ["entity", F.desc("version"), "pos", "row_key"]
     ranged = slim.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
     ranged = ranged.withColumns({c: read_time(F.col(c)).cast("bigint") for c in ("start_ms", "end_ms")})
-    runs = materialise(ranged.mapInArrow(_scan, RUN_SCHEMA), "runs")
-    # at most two rows per partition of the sort
+    runs = materialise(ranged.mapInArrow(lambda batches: _scan(batches, read), RUN_SCHEMA), "runs")
+    # at most two rows per partition of the sort, with the forms of their runs
+    rows = [x.asDict() for x in runs.where("edge > 0").collect()]
     run_at = lambda part, seq: next((x.asDict() for x in runs.where(f"part = {part} and seq = {seq}").collect()), None)
-    edges, taken = _joined(runs.where("edge > 0").collect(), run_at)
+    edges, taken = _joined(rows, run_at, read)
     schema = "entity string, version int, first_pos int, last_pos int, n bigint, from_ms bigint, to_ms bigint"
-    torn = F.broadcast(_superseded(runs))
-    whole = runs.where("edge = 0 and n > 0").join(torn, ["part", "entity", "version"], "left_anti")
-    if taken:
-        whole = whole.join(F.broadcast(spark.createDataFrame(taken, "part int, seq int")), ["part", "seq"], "left_anti")
-    whole = whole.select("entity", "version", "first_pos", "last_pos", "n", "from_ms", "to_ms")
-    return whole.unionByName(spark.createDataFrame(edges, schema))
-
-
-def _superseded(runs: DataFrame) -> DataFrame:
-    """Entities at a partition's beginning whose higher version ended an earlier partition: at most one row a partition."""
-    spark = runs.sparkSession
-    rows = runs.where("edge > 0").select("part", "edge", "entity", "version").collect()
+    whole = _without(runs.where("edge = 0 and n > 0"), ["part", "version", "entity"], [(p, v, e) for p, e, v in _superseded(rows)])
+    whole = _without(whole, ["part", "seq"], taken)
+    return whole.select("entity", "version", "first_pos", "last_pos", "n", "from_ms", "to_ms").unionByName(spark.createDataFrame(edges, schema))
+
+
+def _without(df: DataFrame, cols: list[str], rows: list[tuple]) -> DataFrame:
+    """Rows that aren't among the few of ``rows``, at most one or two a partition; nothing is sent around for that."""
+    keys = ["\x1f".join(map(str, r)) for r in rows]
+    return df.where(~F.concat_ws("\x1f", *cols).isin(keys)) if keys else df
+
+
+def _superseded(edges: list[dict]) -> list[tuple[int, str, int]]:
+    """Entities at a partition's beginning whose higher version ended an earlier partition: at most one a partition."""
     top, out = None, []
-    for r in sorted(rows, key=lambda x: (x["part"], -(x["edge"] & FIRST))):
+    for r in sorted(edges, key=lambda x: (x["part"], -(x["edge"] & FIRST))):
         if top and top[0] == r["entity"] and r["version"] < top[1]:
             out.append((r["part"], r["entity"], r["version"]))
         else:
             top = (r["entity"], r["version"])
-    return spark.createDataFrame(out, "part int, entity string, version int")
+    return out

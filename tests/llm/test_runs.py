@@ -74,6 +74,47 @@ def test_torn_runs_are_compared_by_all_their_forms(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def in_order(rows):
+    """The definition, one event after the other."""
+    top, out, forms, seg = {}, [], [], None
+    for r in rows:
+        top[r[0]] = max(top.get(r[0], r[1]), r[1])
+    for name, attempt, pos, _, text, s, e in sorted({r for r in rows if r[1] == top[r[0]]}, key=lambda r: (r[0], r[2], str(r[3]))):
+        u = utterance(text)
+        if u is not None and seg == name and any(same_utterance(x, u) for x in forms):
+            o = out[-1]
+            o[3:] = [pos, o[4] + 1, min(o[5], s), max(o[6], e)]
+            forms.append(u)
+        else:
+            forms = [u] if u is not None else []
+            if u is not None:
+                out.append([name, attempt, pos, pos, 1, s, e])
+        seg = name
+    return sorted(map(tuple, out), key=str)
+
+
+@pytest.mark.parametrize("parts", ["1", "2", "8", "64"])
+def test_the_number_of_partitions_changes_nothing(spark, parts):
+    rng = random.Random(11)
+    rows = []
+    for seg in ("a", "b", *"cdefg"):
+        for k in range(150 if seg in "ab" else 9):
+            text = rng.choice(FORMS + FORMS + ["another cue", None])
+            rows += [(seg, 2, k, len(rows), text, k, k + 3), (seg, 1, k, len(rows) + 1, FORMS[0], 0, 1)]
+    rows += rng.sample(rows, 30)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert run(spark, rows) == in_order(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_letter_by_letter(spark):
+    df = spark.createDataFrame([("a", 0, i, i, t, 0, 1) for i, t in enumerate(["x y", "x y", "X y", " ", "x y", None, "x y"])], "seg string, attempt int, pos int, id int, text string, s bigint, e bigint")
+    assert sorted(x[2:5] for x in collapse_runs(df, "seg", "attempt", "pos", "text", "s", "e", "id", exact=True).collect()) == [(0, 1, 2), (2, 2, 1), (4, 4, 1), (6, 6, 1)]
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
