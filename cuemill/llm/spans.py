@@ -12,22 +12,37 @@ Method: seed and extend, without ever forming a pair of records.
 
 What is exchanged per anchor or window is bounded by the number of blocks, not by how many records share it, so a
 passage that stands in a third of all records is no hot group. Windows are compared by 64-bit hashes of their characters.
+
+The number of blocks and of tasks follows the characters of the corpus (``_layout``), not the session's partitions, so what a
+task reads stays the same as the corpus grows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import parallelism
 from .codepoints import flatten, mix, ragged, sliding_min, window_hashes
 
 BLOCK, HITS = "block int, body binary", "bucket int, block int, body binary"
 #: Characters that are hashed at once; bounds a worker's memory.
 SLICE = 1_500_000
 
+#: Bytes of text in a block: at least, and at most.
+LEAST, MOST = 4 << 20, 256 << 20
+
+
+def _layout(size: int) -> tuple[int, int]:
+    """Number of blocks and of buckets for ``size`` bytes of text. A block grows with the root of the corpus, since every block
+    sends something to every bucket: 4 MB up to 1.7 GB of text, 30 MB at 90 GB, 256 MB from 7 TB on. A bucket takes the
+    anchors or windows of one block, of four from there on."""
+    block = min(MOST, max(LEAST, 100 * math.isqrt(size)))
+    return max(1, -(-size // block)), max(1, -(-size // (4 * block if block == MOST else block)))
+
 
 def _pack(ids: np.ndarray, copies: np.ndarray, texts: list[str]) -> bytes:
     raw = [x.encode("utf-8", "surrogatepass") for x in texts]
@@ -150,10 +165,10 @@ def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span
     """
     if not 8 <= seed <= span:
         raise ValueError("seed must lie between 8 and span")
-    spark = df.sparkSession
-    blocks = buckets = 4 * parallelism(spark)
     docs = df.select(df[doc_id].cast("bigint").alias("doc_id"), df[text].cast("string").alias("text")).where((F.length("text") >= span) & F.col("doc_id").isNotNull())
 
+    blocks, buckets = _layout(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
     def pack(batches):
         for b in batches:
             groups: dict[int, list] = {}
@@ -178,7 +193,7 @@ def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span
         for lo, part in _slices(texts):
             _, _, anchor, t, _ = _windows(part, span, seed)
             run = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (t[1:] != t[:-1])])) if len(t) else t
-            keys.append(anchor[run])
+            keys.append(mix(anchor[run]))  # least hashes are small numbers: mixed, they spread over all buckets
             whose.append(t[run] + lo)
         yield from _send(block, *_distinct(np.concatenate(keys), np.concatenate(whose)), buckets)
 
@@ -194,7 +209,7 @@ def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span
                 continue
             run = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (t[1:] != t[:-1])]))
             size = np.diff(np.append(run, len(anchor)))
-            hit = among.where(anchor[run])
+            hit = among.where(mix(anchor[run]))
             at = ragged(run[hit], size[hit])
             keys.append(mix(window[at]))
             whose.append(t[at] + lo)
@@ -231,10 +246,10 @@ def shared_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span
 
     packed = docs.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")).mapInArrow(pack, BLOCK)
     found = "doc_id bigint, from_char bigint, to_char bigint"
-    by_block = packed.groupBy("block")
+    by_block = packed.repartition(blocks, "block").groupBy("block")
 
     def met(sent: DataFrame) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(lambda t: _met(t), BLOCK)
+        return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _met(t), BLOCK).repartition(blocks, "block")
 
     hits = met(by_block.applyInArrow(_one_table(table(seeds, HITS)), HITS))
     windows = met(by_block.cogroup(hits.groupBy("block")).applyInArrow(_two_tables(table(extend, HITS)), HITS))
