@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timecode import timecode_ms
 from ..plans.timeline import ms_sql, strip_sql
-from ..session import table
+from ..session import materialise, table
 from .bilingual import aligned_lines
 from .leakage import leaked_items
 from .runs import collapse_runs
@@ -34,7 +34,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scene, found = table(spark, sf_dir, "scene"), p3_found(spark, sf_dir)
+    scene, found = table(spark, sf_dir, "scene"), materialise(p3_found(spark, sf_dir), "residue")
     lyrics = scene.select("scene_id", "lyrics_site", *LYRICS).unpivot(["scene_id", "lyrics_site"], LYRICS, "field_name", "text")
     lyrics = lyrics.join(found, ["scene_id", "field_name"], "left_anti")
     lyrics = lyrics.select(F.lit("scene").alias("table_name"), F.col("scene_id").alias("record_id"), "field_name", F.col("lyrics_site").alias("source"), "text")
@@ -48,9 +48,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each source: its values that aren't null or empty, how many of them are cut, and their share."""
-    values = _cut_values(spark, sf_dir).where("text <> ''").select("table_name", "record_id", "field_name", "source").distinct()
+    every = _cut_values(spark, sf_dir)
+    values = every.where("text <> ''").select("table_name", "record_id", "field_name", "source").distinct()
     total = values.groupBy("table_name", "source").agg(F.count("*").alias("n_values"))
-    cut = truncated(_cut_values(spark, sf_dir)).select("table_name", "record_id", "field_name", "source").distinct().groupBy("table_name", F.col("source").alias("cut_source")).agg(F.count("*").alias("n_cut"))
+    cut = truncated(every).select("table_name", "record_id", "field_name", "source").distinct().groupBy("table_name", F.col("source").alias("cut_source")).agg(F.count("*").alias("n_cut"))
     j = total.join(cut, (total.table_name == cut.table_name) & total.source.eqNullSafe(cut.cut_source), "left").drop(cut.table_name)
     return j.select("table_name", "source", "n_values", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), (F.coalesce("n_cut", F.lit(0)) / F.col("n_values")).alias("cut_share"))
 

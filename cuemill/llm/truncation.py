@@ -1,7 +1,7 @@
 """Values that were cut off by a field limit or in mid-transfer.
 
-Method: a structural check of each value by a stack automaton (unclosed quotes, brackets and markup in its last part,
-broken multibyte sequences, entities and escapes, marks of a cut) and, where the structure alone doesn't tell, the
+Method: a structural check of each whole value by a stack automaton (unclosed quotes, brackets and markup), of its end for broken
+multibyte sequences, entities and escapes and marks of a cut, and, where the structure alone doesn't tell, the
 baselines of its source: the lengths at which the source cuts (an exact length in characters or bytes that far more
 distinct texts have than its neighbours), how often its values end with a terminator, and, over the whole corpus, which
 lines are known in full and how often a word is the last one of a line or sentence. All baselines are aggregated
@@ -27,7 +27,7 @@ _BROKEN = re.compile(r"(?:[�\ud800-\udfff]|&(?:#\w{0,7}|[A-Za-z]\w{0,7})?|<[^<
 #: Marks that a cutter leaves.
 _MARK = re.compile(r"(?:[\[(](?:…|\.\.\.)[\])]|(?:…|\.\.\.)\s*(?:\[?\(?(?:read more|more|continue reading|weiterlesen|mehr lesen|leer más|seguir leyendo|続きを読む|続き|もっと見る)\)?\]?)\s*[»›>→]?|\s(?:…|\.\.\.))$", re.I)
 _ELLIPSIS = re.compile(r"(?:…|\.{3,})+$")
-_END = re.compile(r"[.!?。！？．｡…][\"'”’»」』)\]）】]*$")
+_STOPS, _CLOSERS = frozenset(".!?。！？．｡…"), "\"'”’»」』)]）】"
 #: What may stand behind a finished text without a terminator of its own.
 _TAILS = (
     ("list", re.compile(r"(?:^|\n)\s*\d{1,3}[.)] (?P<item>[^\n]*)$")),
@@ -40,37 +40,64 @@ _TAILS = (
 _OPEN, _CLOSE = "([{（［｛「『【〈《“«„", ")]}）］｝」』】〉》”»“"
 _PAIR = dict(zip(_OPEN, _CLOSE))
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_DIGIT = re.compile(r"\d")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
-_LINE_STOP = re.compile(r"[,.;:!?。、，．！？…][\"'”’»」』)\]）】]*$")
+_LINE_STOPS = frozenset(",.;:!?。、，．！？…")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+_ITEM = re.compile(r"^\d{1,3}[.)] ")
 _EDGE = " \t\r\n.,;:!?。、，．！？…\"'”’»「」『』()（）　"
 
 #: Bytes of the longest character.
 UTF8 = 4
 
+#: Tags that are never closed.
+_VOID = frozenset("br hr img input link meta wbr".split())
+_SIGN = re.compile(r"<(/?)([A-Za-z][\w-]*)(?:\s[^<>]*)?(/?)>|[\"" + re.escape(_OPEN + _CLOSE) + "]")
+#: Of the texts of a table that have a sign, the share that may leave it open before it says nothing about a text.
+HANGS = 0.1
+
 VALUE, LINE, TOKEN = 0, 1, 2
 _SCHEMA = (
     "kind int, table_name string, record_id bigint, field_name string, source string, chars bigint, bytes bigint, digest string, state string, expects int, "
-    "tail string, line string, last1 string, last2 string, cjk boolean, ends bigint, total bigint"
+    "tail string, line string, last1 string, last2 string, cjk boolean, signs array<string>, hang string, ends bigint, total bigint"
 )
-_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+_KINDS = dict(x.split() for x in _SCHEMA.split(", "))
 
 
 def _digest(s: str) -> str:
     return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=10).hexdigest()
 
 
-def unclosed(text: str) -> bool:
-    """Stack automaton: is a bracket, a paired quote or a straight double quote that opens in the text's last line still open?"""
-    line = text[text.rfind("\n") + 1 :]
-    stack: list[str] = []
-    for c in line:
-        if stack and c == stack[-1]:
+def automaton(text: str) -> tuple[list[tuple[str, int]], set[str]]:
+    """Stack automaton over a whole text: the brackets, paired quotes, straight double quotes and tags still open at its end, each
+    with its place, and all that were opened. A closing tag closes what was opened inside it; a closing sign without
+    an opening one is passed over."""
+    stack: list[tuple[str, str, int]] = []  # what closes it, what opened it, where
+    opened: set[str] = set()
+    for m in _SIGN.finditer(text):
+        c = m[0]
+        if m[2]:
+            tag = f"<{m[2].lower()}>"
+            if m[3] or tag[1:-1] in _VOID:
+                continue
+            if not m[1]:
+                stack.append((tag, tag, m.start()))
+                opened.add(tag)
+            elif any(x[0] == tag for x in stack):
+                while stack.pop()[0] != tag:
+                    pass
+        elif stack and c == stack[-1][0]:
             stack.pop()
-        elif c in _PAIR:
-            stack.append(_PAIR[c])
-        elif c == '"':
-            stack.append('"')
-    return bool(stack)
+        elif c in _PAIR or c == '"':
+            stack.append((_PAIR.get(c, c), c, m.start()))
+            opened.add(c)
+    return [(sign, at) for _, sign, at in stack], opened
+
+
+def unclosed(text: str) -> bool:
+    return bool(automaton(text)[0])
 
 
 def normalise(text: str) -> str:
@@ -78,16 +105,28 @@ def normalise(text: str) -> str:
 
 
 def _key(line: str) -> str:
+    """A line as it is recognised again; of a very long one its digest."""
+    key = _plain(line)
+    return key if len(key) < 200 else _digest(key)
+
+
+def _plain(line: str) -> str:
+    if line.isascii():
+        return " ".join(line.casefold().split()).strip(_EDGE)
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", line).casefold()).strip(_EDGE)
 
 
 def tokens(text: str) -> list[str]:
     """Words; numbers are one token; of kana and kanji runs each pair of neighbours is one."""
+    text = text.casefold() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
+    words = _WORD.findall(text)
+    if not _DIGIT.search(text) and (text.isascii() or not _CJK.search(text)):
+        return words
     out = []
-    for w in _WORD.findall(unicodedata.normalize("NFKC", text).casefold()):
+    for w in words:
         if w[0].isdigit():
             out.append("#")
-        elif _CJK.search(w):
+        elif not w.isascii() and _CJK.search(w):
             out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
         else:
             out.append(w)
@@ -95,42 +134,51 @@ def tokens(text: str) -> list[str]:
 
 
 def anatomy(raw: str) -> dict:
-    """The structure of a value's end. ``state``: 'done', 'broken', 'marked', 'ellipsis' or 'open'."""
-    text = normalise(raw)
+    """The structure of a value. ``state`` of its end: 'done', 'broken', 'marked', 'ellipsis' or 'open'. ``signs``: the brackets, quotes
+    and tags it opens; ``hang``: the last of them that an earlier line opens and nothing closes."""
+    return _anatomy(normalise(raw))
+
+
+def _anatomy(text: str) -> dict:
     body = text.rstrip()
-    lines = [x.strip() for x in body.split("\n") if x.strip()]
-    out = {"state": "done", "expects": 0, "tail": None, "line": None, "last1": None, "last2": None, "cjk": False}
+    lines = [x for x in map(str.strip, body.split("\n")) if x]
+    out = {"state": "done", "expects": 0, "tail": None, "line": None, "last1": None, "last2": None, "cjk": False, "signs": None, "hang": None}
     if not lines:
         return out
-    verse = [x for x in lines[:-1] if not x.startswith(("[", "(", "~", "*"))]
-    if len(verse) >= 2 and sum(bool(_LINE_STOP.search(x)) for x in verse) >= 0.7 * len(verse):
+    verse = [x for x in lines[:-1] if x[0] not in "[(~*"]
+    if len(verse) >= 2 and sum(x.rstrip(_CLOSERS)[-1:] in _LINE_STOPS for x in verse) >= 0.7 * len(verse):
         out["expects"] = 1
-    if _BROKEN.search(body) and not body.endswith("\\n"):
+    end, last = body[-120:], body[body.rfind("\n") + 1 :]
+    if _BROKEN.search(end) and not body.endswith("\\n"):
         out["state"] = "broken"
         return out
-    if _MARK.search(body):
+    if _MARK.search(end):
         out["state"] = "marked"
         return out
-    bare = body
-    if _ELLIPSIS.search(body):
+    left, signs = automaton(body)
+    out["signs"] = sorted(signs) or None
+    if left and left[-1][1] < len(body) - len(last):
+        out["hang"] = left[-1][0]
+    bare = last
+    if _ELLIPSIS.search(end):
         out["state"], bare = "ellipsis", _ELLIPSIS.sub("", body).rstrip()
-    elif unclosed(body):
+        bare = bare[bare.rfind("\n") + 1 :]
+    elif left and not out["hang"]:
         out["state"] = "broken"
         return out
     else:
         for name, p in _TAILS:
-            if m := p.search(body):
+            if m := p.search(last):
                 out["state"], out["tail"] = "open", name
                 out["line"] = _key(m["item"])
                 bare = m["item"]
                 break
         else:
-            if _END.search(body) and not re.search(r"(?:^|\n)\s*\d{1,3}\.$", body):
+            if body.rstrip(_CLOSERS)[-1:] in _STOPS and not re.search(r"^\s*\d{1,3}\.$", last):
                 return out
             out["state"] = "open"
-    last = bare[bare.rfind("\n") + 1 :]
-    out["line"] = out["line"] if out["tail"] else _key(last)
-    t = tokens(last)
+    out["line"] = out["line"] if out["tail"] else _key(bare)
+    t = tokens(bare)
     if t:
         out["last1"], out["cjk"] = t[-1], bool(_CJK.search(t[-1]))
         out["last2"] = " ".join(t[-2:]) if len(t) > 1 else None
@@ -139,56 +187,60 @@ def anatomy(raw: str) -> dict:
     return out
 
 
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """A batch of ``n`` rows; columns not given are null."""
+    cols = [pa.array(columns[c], _TYPES[_KINDS[c]]) if c in columns else pa.nulls(n, _TYPES[_KINDS[c]]) for c in _NAMES]
+    return pa.RecordBatch.from_arrays(cols, _NAMES)
+
+
 def _scan(batches):
-    names = [x.split()[0] for x in _SCHEMA.split(", ")]
-    types = [_TYPES[x.split()[1]] for x in _SCHEMA.split(", ")]
-    lines, ends, total = Counter(), Counter(), Counter()
+    known, said = Counter(), Counter()  # keys of lines, by texts; lines, by occurrences
+    ends, total = Counter(), Counter()
 
-    def rows(values):
-        cols = {n: [] for n in names}
-        for v in values:
-            for n in names:
-                cols[n].append(v.get(n))
-        return pa.RecordBatch.from_arrays([pa.array(cols[n], t) for n, t in zip(names, types)], names)
+    def count():
+        """Words and pairs of words of the lines seen, each distinct line once."""
+        for x, n in said.items():
+            item = _ITEM.sub("", x)
+            for s in _SENTENCE.split(item):
+                if t := tokens(s):
+                    for w in t:
+                        total[w] += n
+                    two = [f"{p} {q}" for p, q in zip(t, t[1:])]
+                    for w in two:
+                        total[w] += n
+                    ends[t[-1]] += n
+                    if two:
+                        ends[two[-1]] += n
+        said.clear()
 
     def counted():
-        for k, n in lines.items():
-            yield {"kind": LINE, "line": k, "total": n}
-        for k, n in total.items():
-            yield {"kind": TOKEN, "last1": k, "ends": ends[k], "total": n}
+        count()
+        yield _rows(len(known), kind=[LINE] * len(known), line=list(known), total=list(known.values()))
+        yield _rows(len(total), kind=[TOKEN] * len(total), last1=list(total), ends=[ends[k] for k in total], total=list(total.values()))
+        known.clear(), ends.clear(), total.clear()
 
     for b in batches:
-        out = []
-        for table, rid, field, source, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
-            v = anatomy(raw) | {"kind": VALUE, "table_name": table, "record_id": rid, "field_name": field, "source": source}
-            v |= {"chars": len(raw), "bytes": len(raw.encode("utf-8", "surrogatepass")), "digest": _digest(raw), "total": 1}
-            out.append(v)
-            text = normalise(raw)
-            parts = [x.strip() for x in text.rstrip().split("\n") if x.strip()]
-            if v["state"] != "done":
-                if parts:  # of an unfinished last line, only whole sentences tell where sentences end
-                    head, stop, _ = parts[-1].rpartition(". ") if ". " in parts[-1] else parts[-1].rpartition("。")
-                    parts = parts[:-1] + ([head + stop] if stop else [])
-            seen = []
-            for x in parts:
-                item = re.sub(r"^\d{1,3}[.)] ", "", x)
-                if len(item) < 200:
-                    seen.append(_key(item))
-                for s in re.split(r"(?<=[.!?…])\s+|(?<=[。！？])", item):
-                    if t := tokens(s):
-                        two = [f"{p} {q}" for p, q in zip(t, t[1:])]
-                        total.update(t)
-                        total.update(two)
-                        ends[t[-1]] += 1
-                        if two:
-                            ends[two[-1]] += 1
-            lines.update(set(seen))
-        yield rows(out)
-        if len(total) + len(lines) > 400_000:
-            yield rows(counted())
-            lines.clear(), ends.clear(), total.clear()
-    if total or lines:
-        yield rows(counted())
+        raw = b.column("text").to_pylist()
+        texts = [normalise(x) for x in raw]
+        values = [_anatomy(x) for x in texts]
+        n = len(raw)
+        sizes = [len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in raw]
+        given = {c: b.column(c) for c in ("table_name", "record_id", "field_name", "source")}
+        told = {c: [v[c] for v in values] for c in ("state", "expects", "tail", "line", "last1", "last2", "cjk", "signs", "hang")}
+        yield _rows(n, kind=[VALUE] * n, chars=[len(x) for x in raw], bytes=sizes, digest=[_digest(x) for x in raw], total=[1] * n, **given, **told)
+        for v, text in zip(values, texts):
+            parts = [x for x in map(str.strip, text.rstrip().split("\n")) if x]
+            if v["state"] != "done" and parts:  # of an unfinished last line, only whole sentences tell where sentences end
+                head, stop, _ = parts[-1].rpartition(". ") if ". " in parts[-1] else parts[-1].rpartition("。")
+                parts[-1:] = [head + stop] if stop else []
+            said.update(parts)
+            known.update({_key(_ITEM.sub("", x)) for x in parts})
+        if len(said) > 50_000:
+            count()
+        if len(total) + len(known) > 400_000:
+            yield from counted()
+    if known or said:
+        yield from counted()
 
 
 def _limits(values: DataFrame, share: float, least: int) -> DataFrame:
@@ -209,7 +261,7 @@ def _limits(values: DataFrame, share: float, least: int) -> DataFrame:
     longer, near = lengths.rangeBetween(12, Window.unboundedFollowing), lengths.rangeBetween(-4, 4)
     bins = by.withColumn("bin", (F.col("size") / 40).cast("bigint")).withColumns({"longer": F.coalesce(F.sum("n").over(longer), F.lit(0)), "odd_near": F.sum("odd").over(near)})
     around = bins.groupBy("table_name", "source", "unit", "bin").agg(F.sum("n").alias("bin_n"))
-    bins = bins.where("size >= 40").join(around, ["table_name", "source", "unit", "bin"]).join(every, ["table_name", "source"])
+    bins = bins.join(around, ["table_name", "source", "unit", "bin"]).join(every, ["table_name", "source"])
     exact = bins.where((F.col("odd") >= least) & (F.col("odd") >= share * F.col("texts")) & (F.col("n") * 8 >= F.col("bin_n")) & F.expr("longer <= greatest(2, 0.3 * n)"))
     near = bins.where((F.col("unit") == "chars") & (F.col("odd_near") > least) & (F.col("odd_near") * 10 >= F.col("odd_texts")) & F.expr("longer <= greatest(2, 0.3 * odd_near)"))
     cols = ["table_name", "source", "unit", "size"]
@@ -219,7 +271,7 @@ def _limits(values: DataFrame, share: float, least: int) -> DataFrame:
     sizes = Window.partitionBy("table_name", "source").orderBy("size")
     below, about = sizes.rangeBetween(1 - UTF8, 0), sizes.rangeBetween(-23, 16)
     steps = steps.withColumns({"longer": F.coalesce(F.sum("n").over(sizes.rangeBetween(12, Window.unboundedFollowing)), F.lit(0)), "n_below": F.sum("loose").over(below), "wide_below": F.sum("wide").over(below), "wide_about": F.sum("wide").over(about)})
-    steps = steps.where("size >= 40").join(every, ["table_name", "source"])
+    steps = steps.join(every, ["table_name", "source"])
     strong = (F.col("wide_below") >= least) & (F.col("n_below") >= share * F.col("texts")) & (F.col("wide_below") * 2 >= F.col("wide_about")) & (F.col("wide") * 8 >= F.col("wide_below")) & F.expr("longer <= greatest(2, 0.3 * n_below)")
     cut = steps.where(strong).groupBy("table_name", "source").agg(F.max_by("size", F.struct("wide_below", -F.col("size"))).alias("size"))
     return exact.select(*cols).unionByName(near.withColumn("unit", F.lit("near")).select(*cols)).unionByName(cut.withColumn("unit", F.lit("cut")).select(*cols))
@@ -244,7 +296,11 @@ def truncated(values: DataFrame, share: float = 0.015, least: int = 4) -> DataFr
     by_field = fair.groupBy("table_name", "field_name").agg(F.avg(F.when(F.col("state") == "done", 1.0).otherwise(0.0)).alias("field_done"))
     by_source = fair.groupBy("table_name", "field_name", "source").agg(F.avg(F.when(F.col("state") == "done", 1.0).otherwise(0.0)).alias("source_done"), F.count("*").alias("_n"))
     by_source = by_source.where("_n >= 30").drop("_n")
-    doubt = value.where("state in ('ellipsis', 'open')").drop("kind", "ends", "total", "digest")
+    # a sign that an earlier line opens and nothing closes tells of a cut where texts of the table seldom leave it open
+    hung = value.where("signs is not null").select("table_name", F.explode("signs").alias("sign"), "hang").groupBy("table_name", "sign").agg(F.count("*").alias("_all"), F.count_if(F.col("sign") == F.col("hang")).alias("_open"))
+    odd = hung.where((F.col("_open") > 0) & (F.col("_open") <= HANGS * (F.col("_all") + 20))).select("table_name", F.col("sign").alias("hang"))
+    hanging = value.where("hang is not null and state <> 'broken'").join(odd, ["table_name", "hang"], "left_semi")
+    doubt = value.where("state in ('ellipsis', 'open')").drop("kind", "ends", "total", "digest", "signs", "hang")
     lim = limits.groupBy("table_name", "source").pivot("unit", ["chars", "bytes", "near", "cut"]).agg(F.collect_set("size"))
     doubt = doubt.join(lim.select("table_name", "source", F.col("chars").alias("l_chars"), F.col("bytes").alias("l_bytes"), F.col("near").alias("l_near"), F.array_max("cut").alias("l_cut")), ["table_name", "source"], "left")
     doubt = doubt.withColumn("near_limit", F.coalesce(F.array_contains("l_near", F.col("chars")), F.lit(False))).drop("l_near")
@@ -278,4 +334,6 @@ def truncated(values: DataFrame, share: float = 0.015, least: int = 4) -> DataFr
     )
     cols = ["table_name", "record_id", "field_name", F.when(F.col("source") != "", F.col("source")).alias("source")]
     plain = value.where("state in ('broken', 'marked')").select(*cols, F.when(F.col("state") == "broken", "broken").otherwise("mark").alias("reason"))
-    return plain.unionByName(j.withColumn("reason", reason).where("reason is not null").select(*cols, "reason"))
+    ended = j.withColumn("reason", reason).where("reason is not null").select(*cols, "reason")
+    found = plain.unionByName(ended).unionByName(hanging.select(*cols, F.lit("unclosed").alias("reason")))
+    return found.groupBy("table_name", "record_id", "field_name", "source").agg(F.min("reason").alias("reason"))

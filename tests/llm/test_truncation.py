@@ -103,4 +103,28 @@ def test_anatomy(text, state):
 
 
 def test_stack():
-    assert unclosed("a (b [c]") and not unclosed("a (b [c])") and not unclosed("it's") and not unclosed("(open\nclosed line")
+    assert unclosed("a (b [c]") and not unclosed("a (b [c])") and not unclosed("it's") and unclosed("(open\nnext line")
+    assert unclosed("<div><p>Hello") and not unclosed("<div><p>Hello</div> <br> <i>so</i> 1 < 2, 3 > 2") and not unclosed("a) b ] c")
+
+
+HUNG = ["He said (see below\nand then he went home.", 'She said "I never\nwanted that at all.', "<div><p>Hello there.\nAnd so on.", "「今日は\n何もない。"]
+
+
+def test_what_an_earlier_line_opens(spark):
+    rows = [("r", i, "content", "a.test", t) for i, t in enumerate(HUNG)]
+    rows += [("r", 100 + i, "content", "a.test", t) for i, t in enumerate(['She said "so\nand so."', "(one\ntwo).", "<b>bold\ntext</b>.", "Whole."] * 5)]
+    assert run(spark, rows) == {("r", i): "unclosed" for i in range(4)}
+
+
+def test_a_sign_that_is_usually_left_open_tells_nothing(spark):
+    rows = [("r", i, "content", "a.test", f"„so it goes {i}\nand goes.") for i in range(60)]
+    assert run(spark, rows) == {}
+
+
+def test_short_limits_and_long_lines(spark):
+    whole = line()
+    cut = [("t", i, "title", "short.test", (line() + " and so on")[:30]) for i in range(60)]
+    long = "so " * 90 + "it goes"
+    known = [("s", i, "og", "long.test", f"{line()}\n{long}\n{line()}") for i in range(20)] + [("s", 99, "og", "long.test", f"{whole}\n{long}")]
+    got = run(spark, cut + known)
+    assert sum(k[0] == "t" for k in got) > 50 and ("s", 99) not in got
