@@ -314,7 +314,7 @@ def truncated(values: DataFrame, share: float = 0.015, least: int = 4) -> DataFr
     heads = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("last1") - 1, F.lit(1))), lambda i: F.substring("last1", F.lit(1), i))).alias("head"), "last1", "total")
     heads = heads.where("head <> last1").select(F.col("head").alias("last1"), F.col("total").alias("n")).join(wanted, "last1", "left_semi").groupBy("last1").agg(F.sum("n").alias("longer"))
     j = doubt.join(one, "last1", "left").join(two, "last2", "left").join(heads, "last1", "left").fillna({"known": 0, "t1": 0, "e1": 0, "t2": 0, "e2": 0, "longer": 0})
-    inside = ~F.col("cjk") & (F.col("t1") <= 2) & (F.col("longer") >= 5) & F.col("last1").isNotNull()
+    inside = ~F.col("cjk") & (F.col("t1") <= F.greatest(F.lit(2), F.col("longer") / 500)) & (F.col("longer") >= 5) & F.col("last1").isNotNull()
     seldom = ((F.col("t2") >= 8) & (F.col("e2") < 0.02 * F.col("t2"))) | ((F.col("t2") < 8) & (F.col("t1") >= 20) & (F.col("e1") < 0.02 * F.col("t1")))
     prose = F.coalesce(F.col("field_done") >= 0.5, F.lit(False)) | F.coalesce(F.col("source_done") >= 0.8, F.lit(False))
     tail, is_open = F.col("tail"), F.col("state") == "open"
