@@ -68,6 +68,16 @@ def subtitles_tag(model: Column, lyrics_version: int, subtitles_version: int) ->
     return F.format_string("%s-%02d%02d", model_shortcode(model), F.lit(lyrics_version), F.lit(subtitles_version))
 
 
+def is_google(model: Column) -> Column:
+    """Whether a model is called through the provider's own interface; the prefix is a fixed value."""
+    return F.startswith(F.lower(model), F.lit("google-gla"))
+
+
+def sha256_hex(content: Column) -> Column:
+    """The content's hash as lower-case hexadecimal digits."""
+    return F.sha2(content, 256)
+
+
 def is_managed(display_name: Column) -> Column:
     """Whether the last part of the name is ``part_NNN.ext``; null counts as no."""
     return F.coalesce(F.substring_index(display_name, "/", -1).rlike(MANAGED_NAME), F.lit(False))

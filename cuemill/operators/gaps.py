@@ -21,6 +21,13 @@ def has_large_gap(threshold_ms: int) -> Column:
     return F.coalesce(F.greatest("head_ms", "inner_ms", "tail_ms") >= threshold_ms, F.lit(False))
 
 
+def complete(n_responses: Column, loaded: Column, large_gap: Column, is_first: Column, is_last: Column, retries: int = 1, ignore_start: bool = True, ignore_end: bool = True) -> Column:
+    """Whether nothing more is to be asked for a segment: it has a response, and either verification is off, or was tried more
+    often than ``retries``, or the segment is a first or last one that is let pass, or there is no large gap."""
+    passed = (is_first & ignore_start) | (is_last & ignore_end)
+    return F.coalesce((n_responses > 0) & loaded, F.lit(False)) & (F.lit(retries <= 0) | (n_responses > retries) | passed | ~large_gap)
+
+
 def has_large_gap_nested(cues: Column, duration_ms: Column, threshold_ms: int) -> Column:
     """The same for a nested list of ``struct<start_ms, end_ms>``, row-locally: a fold over the array."""
     zero = F.struct(F.lit(None).cast("bigint").alias("end"), F.lit(False).alias("gap"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the fields of a scene, in the order of the output.
 SCENE_FIELDS = ("start", "end", "description", "contains_vocal_music", "song_title", "original_artist", "performer_in_video", "original_language", "reference_lyrics_og", "reference_lyrics_en")
 TEMPLATE = "<task>\n  Subtitle the segment.\n</task>\n<scenes>\n  %s\n</scenes>"
 
@@ -25,5 +26,6 @@ def segment_prompts(segments: DataFrame, scenes: DataFrame, template: str = TEMP
 
 def verification_prompt(prompt: Column, duration_ms: Column) -> Column:
     """The prompt of a second pass over a segment in which large gaps were found."""
+    # the tag is a fixed value
     note = F.format_string("<verification_pass>\n  Regenerate all subtitles of the segment (%.1f seconds); leave nothing out.\n</verification_pass>", duration_ms / 1000.0)
     return F.concat(prompt, F.lit("\n\n"), note)

@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ident import hash_key, is_managed
+from .prefix import running_before
 
 
 def reusable(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Per local file (``file_name, display_name, size_bytes, sha256_hex``) the first stored one, by name, of equal size and
-    hash under the file's own or its unique display name. Failed stored files are passed over. An equi-join on size and
+    hash under the file's own or its unique display name. Failed stored files are passed over; one without a state isn't failed. An equi-join on size and
     hash in one spelling; the first match is an aggregate."""
-    kept = remote.where(F.upper("state") != "FAILED").select("remote_name", F.col("display_name").alias("r_name"), F.col("size_bytes").alias("r_size"), hash_key(F.col("sha256_hash")).alias("r_hash"))
+    kept = remote.where(F.coalesce(F.upper("state") != "FAILED", F.lit(True))).select("remote_name", F.col("display_name").alias("r_name"), F.col("size_bytes").alias("r_size"), hash_key(F.col("sha256_hash")).alias("r_hash"))
     j = local.join(kept, (F.col("size_bytes") == F.col("r_size")) & (F.lower("sha256_hex") == F.col("r_hash")) & ((F.col("r_name") == F.col("file_name")) | (F.col("r_name") == F.col("display_name"))))
     return j.groupBy("file_name", "display_name").agg(F.min("remote_name").alias("remote_name"))
 
 
 def evict(remote: DataFrame, required_bytes: int, capacity: int | None = None, capacity_share: float | None = None) -> DataFrame:
-    """``remote_name, size_bytes``: the managed files to delete, oldest first (expiration, or else creation; then name), until
-    total and required bytes fit into the capacity, given in bytes or as a share of the total.
+    """``remote_name, size_bytes``: the managed files to delete, oldest first (expiration, or else creation, undated ones first;
+    then name), until total and required bytes fit into the capacity, given in bytes or as a share of the total.
 
-    The prefix sum runs over days first and within a day then, so that only one row per day meets in one task.
+    Sizes are summed up over the range-sorted files, so neither a busy day nor very many undated files meet in one task. The
+    total is a row of the plan, not a job of its own.
     """
-    total = remote.agg(F.sum(F.coalesce("size_bytes", F.lit(0)))).first()[0] or 0
-    cap = capacity if capacity is not None else int(total * capacity_share)
-    managed = remote.where(is_managed(F.col("display_name"))).withColumn("_at", F.coalesce("expiration_time", "create_time")).withColumn("_day", F.to_date("_at"))
-    days = managed.groupBy("_day").agg(F.sum(F.coalesce("size_bytes", F.lit(0))).alias("_sum"))
-    days = days.withColumn("_days_before", F.coalesce(F.sum("_sum").over(Window.orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    in_day = Window.partitionBy("_day").orderBy(F.col("_at").asc_nulls_first(), "remote_name").rowsBetween(Window.unboundedPreceding, -1)
-    m = managed.withColumn("_in_day", F.coalesce(F.sum(F.coalesce("size_bytes", F.lit(0))).over(in_day), F.lit(0)))
-    m = m.join(days, m["_day"].eqNullSafe(days["_day"])).drop(days["_day"])
-    return m.where(F.lit(total + required_bytes) - F.col("_days_before") - F.col("_in_day") > cap).select("remote_name", "size_bytes")
+    total = remote.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("_total"))
+    cap = F.lit(capacity) if capacity is not None else F.floor(F.col("_total") * F.lit(float(capacity_share))).cast("bigint")
+    managed = remote.where(is_managed(F.col("display_name"))).withColumn("_at", F.coalesce("expiration_time", "create_time"))
+    m = running_before(managed, [F.col("_at").asc_nulls_first(), F.col("remote_name")], "size_bytes", "_deleted")
+    m = m.join(F.broadcast(total), F.lit(True))  # one row
+    return m.where(F.col("_total") + F.lit(required_bytes) - F.col("_deleted") > cap).select("remote_name", "size_bytes")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import sums_before
+
 
 def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
     """One row per key: of rows delivered again the latest. Aggregated map-side, so a key with very many rows is no hot group."""
@@ -14,9 +16,9 @@ def latest(df: DataFrame, key: str, order: str = "loaded_at") -> DataFrame:
 
 
 def offsets(segments: DataFrame) -> DataFrame:
-    """Adds ``offset_ms``: the sum of the durations of the medium's segments before this one."""
-    before = Window.partitionBy("media_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("offset_ms", F.coalesce(F.sum("duration_ms").over(before), F.lit(0)).cast("bigint"))
+    """Adds ``offset_ms``: the sum of the durations of the medium's segments before this one. A medium of very many segments is
+    no hot window: sums go over blocks of segments first."""
+    return sums_before(segments, "media_id", "seg_idx", {"offset_ms": "duration_ms"})
 
 
 def chunks_to_skip(start_offset_min: Column | float, max_seconds: Column | int) -> Column:

@@ -31,6 +31,17 @@ def response_verdicts(cues: DataFrame, keys: list[str], buffer_ms: int = 2000) -
     return bad.groupBy(*keys).agg(F.count("*").alias("n_cues"), first.alias("_bad")).select(*keys, "n_cues", F.col("_bad.pos").alias("first_bad_pos"), F.col("_bad._why").alias("reason"))
 
 
+def load_verdicts(cues: DataFrame, key: str = "segment_name", version: str = "attempt", buffer_ms: int = 2000) -> DataFrame:
+    """``key, n_responses, reason``: whether a stored list of responses would be taken up again. Time-codes and their order are checked
+    in every response, the duration only against the last one; ``reason`` is null for a list that is loaded. Versions
+    count from 0. Aggregates with map-side combination."""
+    bad = cues.withColumn("_why", cue_reason(buffer_ms=buffer_ms))
+    each = bad.groupBy(key, version).agg(F.min(F.when(F.col("_why") != "beyond", F.struct("pos", "_why"))).alias("_form"), F.max(F.when(F.col("_why") == "beyond", True)).alias("_beyond"))
+    first = F.min(F.when(F.col("_form").isNotNull(), F.struct(F.col(version).alias("v"), F.col("_form._why").alias("why"))))
+    per = each.groupBy(key).agg(first.alias("_f"), F.max_by("_beyond", version).alias("_last"), (F.max(version) + 1).alias("n_responses"))
+    return per.select(key, "n_responses", F.coalesce(F.col("_f.why"), F.when(F.col("_last"), "beyond")).alias("reason"))
+
+
 def active(cues: DataFrame, key: str = "segment_name", version: str = "attempt") -> DataFrame:
     """The rows of each key's highest version: an aggregate joined back, so that no key is collected in one task."""
     top = cues.groupBy(key).agg(F.max(version).alias(version))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ident, media
@@ -64,14 +64,26 @@ def query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.distinct_queries(_results(spark, sf_dir), "search_query")
 
 
+def _told(results: Column) -> Column:
+    """A list of results as text: fields parted by chr(31), results by chr(30)."""
+    return F.array_join(F.transform(results, lambda x: F.concat_ws("\x1f", x["title"], x["url"], x["content"])), "\x1e")
+
+
 def results_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _results(spark, sf_dir).where("search_query is not null").groupBy("search_query", "pos").agg(F.min("url").alias("url"))
-    return search.grouped(r, "search_query", "pos", "url").select("search_query", "n_results", "results")
+    """Each query with all its usable results, ten at most."""
+    return search.grouped(_results(spark, sf_dir)).select("search_query", "n_results", _told(F.col("results")).alias("results"))
+
+
+def cached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query with what it gets through the cache by normalised query."""
+    asked = table(spark, sf_dir, "search_result").select("search_query", "made_at")
+    c = search.through_cache(asked, search.grouped(_results(spark, sf_dir)))
+    return c.select("search_query", "query_key", "sent", "n_results", _told(F.col("results")).alias("results"))
 
 
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", policy.estimated_tokens(F.lit("x" * 100), F.col("text"), F.col("doc_id") % 300_000).alias("tokens"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", policy.estimated_tokens(F.lit("x" * 100), F.coalesce("text", F.lit("")), F.col("doc_id") % 300_000).alias("tokens"))
 
 
 def window_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +107,18 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(0.3,), (0.7,), (1.0,), (1.9,), (3.0,)], "qps double").select("qps", requests.alias("requests"), seconds.alias("seconds"))
 
 
+def retry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a service: which may be asked again, and which say that a quota is used up."""
+    e = table(spark, sf_dir, "events")
+    status = F.element_at(F.array(*[F.lit(x) for x in STATUSES]), (F.col("event_id") % len(STATUSES) + 1).cast("int"))
+    s = e.select("event_id", status.alias("status"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Quota per DAY used up: "), "event_type")).alias("body"))
+    return s.select("event_id", "status", policy.is_retryable(F.col("status")).alias("retryable"), policy.quota_exceeded(F.col("status"), F.col("body"), "per day").alias("quota"))
+
+
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ident.sha256_hex(F.col("text")).alias("sha256"))
+
+
 def media_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a probe would say of each segment, read back: duration, frame rate and tolerance."""
     s = table(spark, sf_dir, "segment").select("segment_name", "seg_idx", "duration_ms").distinct()
@@ -105,6 +129,7 @@ def media_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STATUSES = (200, 404, 429, 500, 501, 502, 503, 504)
 #: Model names in the forms that occur; combined with the parts below.
 PREFIXES, TIERS, SUFFIXES = ("google-gla:gemini-", "gemini-", "openai:gpt-", "claude-"), ("flash-lite", "flash", "pro", "ultra"), ("", "-preview", "-exp", "_001")
 
@@ -117,7 +142,7 @@ def shortcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = F.concat(pick(PREFIXES, 1), (F.col("p_partkey") % 4 + 1).cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit("-"), pick(TIERS, 4), pick(SUFFIXES, 16))
     m = part.select("p_partkey", model.alias("model"))
-    return m.select("p_partkey", "model", ident.model_shortcode(F.col("model")).alias("code"), ident.lyrics_tag(F.col("model"), 9).alias("lyrics_tag"), ident.subtitles_tag(F.col("model"), 9, 18).alias("subtitles_tag"))
+    return m.select("p_partkey", "model", ident.model_shortcode(F.col("model")).alias("code"), ident.lyrics_tag(F.col("model"), 9).alias("lyrics_tag"), ident.subtitles_tag(F.col("model"), 9, 18).alias("subtitles_tag"), ident.is_google(F.col("model")).alias("is_google"))
 
 
 def settings_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +159,9 @@ QUERIES = {
     "search_payloads": search_payloads,
     "query_keys": query_keys,
     "results_by_query": results_by_query,
+    "cached_results": cached_results,
+    "retry_kinds": retry_kinds,
+    "content_hash": content_hash,
     "token_estimate": token_estimate,
     "window_limits": window_limits,
     "quota_latch": quota_latch,
@@ -152,6 +180,10 @@ _RES = "s AS (SELECT DISTINCT result_id, search_query, search_tool, pos, title,
 _P = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+_LISTS = """r AS (SELECT search_query, pos, arg_min(concat_ws(chr(31), title, url, content), result_id) FILTER (WHERE title <> '' AND url <> '' AND content <> '' AND length(content) <= 4096 AND pos BETWEEN 1 AND 10) AS x FROM s WHERE search_query IS NOT NULL GROUP BY search_query, pos),
+g AS (SELECT search_query, count(x) AS n_results, coalesce(string_agg(x, chr(30) ORDER BY pos), '') AS results FROM r GROUP BY search_query)"""
+
+
 def _pick(values: tuple[str, ...], step: int) -> str:
     return "([" + ", ".join(f"'{v}'" for v in values) + f"])[(p_partkey // {step}) % {len(values)} + 1]"
 
@@ -176,8 +208,16 @@ SELECT remote_name, size_bytes FROM m, t WHERE total - before + 1000 > floor(tot
     "search_filter": f"WITH {_RES} SELECT result_id, title, url, length(content) AS content_length FROM s WHERE title <> '' AND url <> '' AND content <> '' AND length(content) <= 4096",
     "search_payloads": f"WITH {_RES} SELECT result_id, title, url, content FROM s",
     "query_keys": f"WITH {_RES} SELECT replace(lower(translate(search_query, '{_P}', '')), 'ß', 'ss') AS query_key, min(search_query) AS query, count(*) AS n_queries FROM s WHERE search_query IS NOT NULL GROUP BY 1",
-    "results_by_query": f"WITH {_RES}, m AS (SELECT search_query, pos, min(url) AS url FROM s WHERE search_query IS NOT NULL AND pos >= 0 AND pos < 10 GROUP BY 1, 2) SELECT search_query, count(*) AS n_results, string_agg(coalesce(url, ''), chr(10) ORDER BY pos) AS results FROM m GROUP BY search_query",
-    "token_estimate": "SELECT doc_id, floor(100 + length(text) + (doc_id % 300000) / 1000.0::DOUBLE * 300)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL",
+    # a service's payload has ten results; those without title, url or content, or with over 4,096 characters, are dropped
+    "results_by_query": f"WITH {_RES}, {_LISTS} SELECT search_query, n_results, results FROM g",
+    "cached_results": f"""WITH {_RES}, {_LISTS}, a AS (SELECT search_query, min(made_at) AS asked FROM search_result WHERE search_query IS NOT NULL GROUP BY search_query),
+k AS (SELECT *, replace(lower(translate(search_query, '{_P}', '')), 'ß', 'ss') AS query_key FROM a),
+f AS (SELECT *, first_value(search_query) OVER (PARTITION BY query_key ORDER BY asked NULLS LAST, search_query) AS first_query FROM k)
+SELECT f.search_query, query_key, f.search_query = first_query AS sent, n_results, results FROM f JOIN g ON g.search_query = first_query""",
+    "retry_kinds": """WITH s AS (SELECT event_id, ([200, 404, 429, 500, 501, 502, 503, 504])[event_id % 8 + 1]::INT AS status, event_id % 2 = 0 AS told FROM events)
+SELECT event_id, status, status IN (429, 500, 502, 503, 504) AS retryable, status = 429 AND told AS quota FROM s""",
+    "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "token_estimate": "SELECT doc_id, floor(100 + length(coalesce(text, '')) + (doc_id % 300000) / 1000.0::DOUBLE * 300)::BIGINT AS tokens FROM documents",
     "window_limits": "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS window_s, count(*) AS n_requests, sum(round(value * 100)::BIGINT)::BIGINT AS sum_weight, count(*) > 4 OR sum(round(value * 100)::BIGINT) > 100000 AS breach FROM events GROUP BY 1, 2",
     "quota_latch": "WITH k AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS late FROM events) SELECT user_id, count(*) AS n_requests, count(*) FILTER (WHERE NOT late) AS n_before, count(*) FILTER (WHERE late) AS n_latched FROM k GROUP BY user_id",
     "backoff": """SELECT policy, attempt, wait_s, sum(wait_s) OVER (PARTITION BY policy ORDER BY attempt) AS total_s FROM (
@@ -187,5 +227,5 @@ SELECT 'agent' AS policy, i::INT AS attempt, least(300.0, 30.0 * 2 ** i)::DOUBLE
 SELECT segment_name, trunc((duration_ms // 1000 || '.' || lpad((duration_ms % 1000)::VARCHAR, 3, '0') || '9')::DOUBLE * 1000)::BIGINT AS probed_ms, fps, 100 + CASE WHEN fps < 1 THEN floor(1000 / fps)::BIGINT ELSE 0 END AS tolerance_ms, floor(fps * 10)::INT AS key_frames, duration_ms * 70 / 1048576.0::DOUBLE >= 20.0 AS large FROM s""",
     "shortcodes": f"""WITH m AS (SELECT p_partkey, {_pick(PREFIXES, 1)} AS prefix, (p_partkey % 4 + 1)::VARCHAR AS a, (p_partkey % 7)::VARCHAR AS b, {_pick(TIERS, 4)} AS tier, {_pick(SUFFIXES, 16)} AS suffix FROM part),
 k AS (SELECT p_partkey, prefix || a || '.' || b || '-' || tier || suffix AS model, {_CODE} AS code FROM m)
-SELECT p_partkey, model, code, code || '-09' AS lyrics_tag, code || '-0918' AS subtitles_tag FROM k""",
+SELECT p_partkey, model, code, code || '-09' AS lyrics_tag, code || '-0918' AS subtitles_tag, lower(model) LIKE 'google-gla%' AS is_google FROM k""",
 }

@@ -12,9 +12,9 @@ from ..functions.timecode import timecode_ms
 from ..operators import gaps, segments, validate
 from ..operators.intervals import merge_intervals, periods_and_gaps
 from ..operators.prompt import segment_prompts
-from ..operators.stitch import PLACEHOLDER, stitch
-from ..session import table
-from ..sources import srt
+from ..operators.stitch import PLACEHOLDER, headed, stitch
+from ..session import fresh_dir, materialise, table
+from ..sources import srt, state
 from ..streaming.cues import deliver_once
 
 
@@ -118,11 +118,25 @@ def validate_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.response_verdicts(checked, ["segment_name"]).withColumnRenamed("n_cues", "n_scenes")
 
 
-def _valid_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues of the active response of each segment, where it is valid as a whole."""
-    c = validate.active(_cues(spark, sf_dir)).join(_segments(spark, sf_dir), "segment_name")
-    good = validate.response_verdicts(c, ["segment_name"]).where("reason is null")
-    return c.join(good.select("segment_name"), "segment_name", "left_semi")
+def _timed(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Cues with their times as delivered, so perhaps more than once; for what doesn't count them."""
+    return validate.with_times(table(spark, sf_dir, "cue").select("cue_id", "segment_name", "attempt", "pos", "start_tc", "end_tc", *more))
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``segment_name, attempt, n``: the active response of each segment where it is valid as a whole, and its number of cues: one
+    aggregate by response and one by segment. One row a segment, written, so that its size is known where it is joined."""
+    c = _timed(spark, sf_dir).join(_segments(spark, sf_dir).select("segment_name", "duration_ms"), "segment_name")
+    per = c.groupBy("segment_name", "attempt").agg(F.count_distinct("cue_id").alias("n"), F.max(validate.cue_reason().isNotNull()).alias("bad"))
+    top = per.groupBy("segment_name").agg(F.max(F.struct("attempt", "n", "bad")).alias("x"), F.lit(True).alias("known"))
+    known = table(spark, sf_dir, "segment").where("duration_ms is not null").select("segment_name").distinct()
+    return materialise(top.where("not x.bad").join(known, "segment_name", "left_semi").select("segment_name", "x.attempt", "x.n"), "active")
+
+
+def _valid_cues(spark: SparkSession, sf_dir: str, active: DataFrame | None = None) -> DataFrame:
+    """Cues of the active response of each segment, where it is valid as a whole, as delivered."""
+    a = active if active is not None else _active(spark, sf_dir)
+    return _timed(spark, sf_dir, "original", "english").join(a.select("segment_name", "attempt"), ["segment_name", "attempt"])
 
 
 _C = f"""c AS (SELECT DISTINCT cue_id, segment_name, attempt, pos, start_tc, end_tc, original, english, {ms_sql("start_tc")} AS start_ms, {ms_sql("end_tc")} AS end_ms FROM cue),
@@ -167,13 +181,40 @@ def gap_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("large", gaps.has_large_gap(60_000))
 
 
+def load_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each segment's stored responses would be taken up again: time-codes of all of them, duration of the last."""
+    c = _timed(spark, sf_dir).join(_segments(spark, sf_dir).select("segment_name", "duration_ms"), "segment_name", "left")
+    return validate.load_verdicts(c)
+
+
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a segment's cue list covers it: gaps at the ends of the medium are let pass."""
+    """Whether nothing more is to be asked for a segment: a segment that has been verified once, and the first and last of a medium,
+    are complete as they are; others if they have no large gap; those without a loadable response never."""
     flags = segments.boundary_flags(_segments(spark, sf_dir)).select("segment_name", "is_first", "is_last")
-    g = gap_detection(spark, sf_dir).join(flags, "segment_name")
-    head, tail = (F.col("head_ms") >= 60_000) & ~F.col("is_first"), (F.col("tail_ms") >= 60_000) & ~F.col("is_last")
-    gap = F.coalesce(head, F.lit(False)) | F.coalesce(F.col("inner_ms") >= 60_000, F.lit(False)) | F.coalesce(tail, F.lit(False))
-    return g.select("segment_name", "is_first", "is_last", (~gap).alias("covered"))
+    g = gap_detection(spark, sf_dir).select("segment_name", "large")
+    j = flags.join(load_check(spark, sf_dir), "segment_name", "left").join(g, "segment_name", "left")
+    n, loaded = F.coalesce("n_responses", F.lit(0)), F.col("n_responses").isNotNull() & F.col("reason").isNull()
+    done = gaps.complete(n, loaded, F.coalesce("large", F.lit(True)), F.col("is_first"), F.col("is_last"))
+    return j.select("segment_name", n.alias("n_responses"), "is_first", "is_last", done.alias("complete"))
+
+
+def gap_detection_hof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large gaps over nested lists, as a fold: a list is one segment's cues, so short by nature."""
+    cues = _valid_cues(spark, sf_dir).select("segment_name", F.struct("pos", "cue_id", "start_ms", "end_ms").alias("c")).groupBy("segment_name").agg(F.array_sort(F.collect_list("c")).alias("cues"))
+    j = _segments(spark, sf_dir).select("segment_name", "duration_ms").join(cues, "segment_name", "left")
+    empty = F.array().cast("array<struct<pos:int,cue_id:bigint,start_ms:bigint,end_ms:bigint>>")
+    return j.select("segment_name", F.coalesce(gaps.has_large_gap_nested(F.coalesce("cues", empty), F.col("duration_ms"), 60_000), F.lit(False)).alias("large"))
+
+
+def empty_segment_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of each event type from its first to its last: an hour without events is one large gap."""
+    e = table(spark, sf_dir, "events").select("event_type", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("bigint").alias("hour"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("bigint").alias("at"))
+    ends = e.groupBy("event_type").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
+    spans = ends.select("event_type", F.explode(F.sequence("a", "b")).alias("hour")).select("event_type", "hour", F.concat_ws("/", "event_type", F.col("hour").cast("string")).alias("k"), F.lit(3_600_000).cast("bigint").alias("duration_ms"))
+    rel = F.col("at") - F.col("hour") * 3_600_000
+    cues = e.select(F.concat_ws("/", "event_type", F.col("hour").cast("string")).alias("k"), rel.alias("pos"), rel.alias("start_ms"), rel.alias("end_ms"))
+    g = gaps.largest_gaps(cues, spans.select("k", "duration_ms"), "k").withColumn("large", gaps.has_large_gap(900_000))
+    return spans.join(g.select("k", "large"), "k").select("event_type", "hour", "large")
 
 
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,8 +241,9 @@ def segment_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = _valid_cues(spark, sf_dir).select("segment_name", "pos", "start_ms", "end_ms", merge_bilingual(F.col("original"), F.col("english")).alias("text"))
-    return stitch(_segments(spark, sf_dir), cues)
+    active = _active(spark, sf_dir)
+    cues = _valid_cues(spark, sf_dir, active).select("segment_name", "pos", "start_ms", "end_ms", merge_bilingual(F.col("original"), F.col("english")).alias("text"))
+    return stitch(_segments(spark, sf_dir), cues, active.select("segment_name", "n"))
 
 
 def stitch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,11 +255,55 @@ def stitch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("media_id").agg(F.count("*").alias("n_cues"), F.count(F.when(F.col("pos") < 0, 1)).alias("n_missing"), F.max("end_ms").alias("end_ms"))
 
 
+#: Stands for the JSON of a run's settings in ``srt_render``.
+HEADER = '{"complete": true}'
+
+
 def srt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stitched(spark, sf_dir)
+    """The blocks of each medium's subtitle file, the header cue (number 0) first."""
+    s = headed(_stitched(spark, sf_dir), F.lit(HEADER))
     return s.select("media_id", "cue_no", srt.block(F.col("cue_no"), F.col("start_ms"), F.col("end_ms"), F.coalesce("text", F.lit(""))).alias("block"))
 
 
+def srt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stitched cues written as subtitle files and read back."""
+    path = fresh_dir(spark, "srt")
+    srt.write_srt(_stitched(spark, sf_dir).where("media_id is not null").withColumn("text", F.coalesce("text", F.lit(""))), path)
+    back = srt.read_srt(spark, f"{path}/*")
+    return back.select(F.url_decode(F.regexp_extract("path", "media_id=([^/]+)/", 1)).alias("media_id"), F.col("cue_no").cast("bigint").alias("cue_no"), "start_ms", "end_ms", "text")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each segment that has cues, as it is stored: all responses in order. A list is one segment's, so short."""
+    c = _cues(spark, sf_dir).where("segment_name is not null and attempt is not null")
+    cue = F.struct("pos", "cue_id", F.struct(F.col("start_tc").alias("start"), F.col("end_tc").alias("end"), "original", "english").alias("c"))
+    lists = c.groupBy("segment_name", "attempt").agg(F.array_sort(F.collect_list(cue)).alias("l"))
+    answer = F.struct("attempt", F.struct(F.transform("l", lambda x: x["c"]).alias("subtitles"), F.lit(None).cast("string").alias("thoughts")).alias("r"))
+    per = lists.groupBy("segment_name").agg(F.transform(F.array_sort(F.collect_list(answer)), lambda x: x["r"]).alias("responses"))
+    j = per.join(_segments(spark, sf_dir), "segment_name")
+    return j.select(F.col("segment_name").alias("name"), F.size("responses").alias("total_attempts"), F.col("duration_ms").cast("int").alias("video_duration_ms"), (F.col("seg_idx") % 3).alias("subtitles_prompt_version"), "responses")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    path = fresh_dir(spark, "states")
+    state.write_state(_states(spark, sf_dir), path)
+    return path
+
+
+def yaml_state_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States written, one file a segment, and read back: the cues of the active response."""
+    s = state.read_state(spark, _stored(spark, sf_dir))
+    last = state.active_response(F.col("responses"))
+    cues = s.select("name", "total_attempts", "video_duration_ms", F.posexplode(last["subtitles"]).alias("no", "c"))
+    return cues.select("name", "total_attempts", "video_duration_ms", "no", F.col("c.start").alias("start_tc"), F.col("c.end").alias("end_tc"), F.col("c.original").alias("original"), F.col("c.english").alias("english"))
+
+
+def version_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of another prompt version than the wanted count as absent."""
+    s = state.read_state(spark, _stored(spark, sf_dir), version=("subtitles_prompt_version", 1))
+    return s.select("name", F.size("responses").alias("n_responses"))
+
+
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes of each segment as JSON in a prompt; the spacing of JSON is the JVM's, so there is no SQL twin."""
     s = table(spark, sf_dir, "scene").drop("loaded_at").distinct().withColumnsRenamed({"start_tc": "start", "end_tc": "end"})
@@ -225,15 +311,17 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every segment asked again, answered from the recorded responses: here their number of cues."""
-    recorded = validate.active(_cues(spark, sf_dir)).groupBy(F.col("segment_name").alias("request_id")).agg(F.count("*").cast("string").alias("response"))
+    """Every segment asked again, answered from the recorded responses: the cues of the active one, a line each."""
+    line = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("start_tc", "end_tc", "original", "english")])
+    cues = validate.active(_cues(spark, sf_dir)).groupBy(F.col("segment_name").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "cue_id", line.alias("x")))).alias("l"))
+    recorded = cues.select("request_id", F.array_join(F.transform("l", lambda c: c["x"]), "\n").alias("response"))
     asked = _segments(spark, sf_dir).select(F.col("segment_name").alias("request_id"), F.lit("").alias("prompt"))
     return ReplayBackend(recorded).run(asked).select("request_id", "response")
 
 
 def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cue files as a stream, each record once."""
-    return deliver_once(spark, f"{sf_dir}/cue.parque[t]").select("cue_id", "segment_name", "attempt", "pos", "original")
+    """The cue files as a stream, each record once. A stream reads folders or patterns: here one that fits a single name."""
+    return deliver_once(spark, f"{sf_dir}/cue.parque[t]", fresh_dir(spark, "cues")).select("cue_id", "segment_name", "attempt", "pos", "original")
 
 
 QUERIES = {
@@ -249,6 +337,9 @@ QUERIES = {
     "quarantine_reasons": quarantine_reasons,
     "validate_scenes": validate_scenes,
     "gap_detection": gap_detection,
+    "gap_detection_hof": gap_detection_hof,
+    "empty_segment_gap": empty_segment_gap,
+    "load_check": load_check,
     "completeness": completeness,
     "segment_offsets": segment_offsets,
     "start_offset_skip": start_offset_skip,
@@ -258,6 +349,9 @@ QUERIES = {
     "stitch": stitch_query,
     "stitch_summary": stitch_summary,
     "srt_render": srt_render,
+    "srt_roundtrip": srt_roundtrip,
+    "yaml_state_roundtrip": yaml_state_roundtrip,
+    "version_filter": version_filter,
     "prompt_render": prompt_render,
     "replay_inference": replay_inference,
     "stream_once": stream_once,
@@ -267,6 +361,8 @@ _GAPS = f"""{_A},
 x AS (SELECT segment_name, pos, start_ms, end_ms, max(end_ms) OVER (PARTITION BY segment_name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM g),
 p AS (SELECT segment_name, arg_min(start_ms, pos) AS h, max(start_ms - pe) AS i, max(end_ms) AS e FROM x GROUP BY segment_name),
 q AS (SELECT d.segment_name, d.media_id, d.seg_idx, duration_ms, coalesce(h, duration_ms) AS head_ms, i AS inner_ms, duration_ms - coalesce(e, 0) AS tail_ms FROM d LEFT JOIN p USING (segment_name))"""
+_LOAD = """a AS (SELECT segment_name, attempt, arg_min(why, pos) FILTER (WHERE why <> 'beyond') AS form, bool_or(coalesce(why, '') = 'beyond') AS late FROM w GROUP BY segment_name, attempt),
+v AS (SELECT segment_name, max(attempt) + 1 AS n_responses, coalesce(arg_min(form, attempt) FILTER (WHERE form IS NOT NULL), CASE WHEN arg_max(late, attempt) THEN 'beyond' END) AS why FROM a GROUP BY segment_name)"""
 _OFF = "o AS (SELECT *, coalesce(sum(duration_ms) OVER (PARTITION BY media_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_ms FROM d)"
 _FLAG = "f AS (SELECT segment_name, media_id, seg_idx, seg_idx = min(seg_idx) OVER (PARTITION BY media_id) AS is_first, seg_idx = max(seg_idx) OVER (PARTITION BY media_id) AS is_last FROM d)"
 _STITCH = f"""{_A}, {_OFF},
@@ -291,7 +387,21 @@ d AS (SELECT segment_name, max_by(duration_ms, loaded_at) AS duration_ms FROM se
 w AS (SELECT s0.*, CASE WHEN start_ms IS NULL OR end_ms IS NULL THEN 'unreadable' WHEN start_ms >= end_ms THEN 'order' WHEN end_ms > duration_ms + 2000 THEN 'beyond' END AS why FROM s0 LEFT JOIN d USING (segment_name))
 SELECT segment_name, count(*) AS n_scenes, min(CASE WHEN why IS NOT NULL THEN pos END) AS first_bad_pos, arg_min(why, pos) FILTER (WHERE why IS NOT NULL) AS reason FROM w GROUP BY segment_name""",
     "gap_detection": f"WITH {_GAPS} SELECT segment_name, duration_ms, head_ms, inner_ms, tail_ms, coalesce(greatest(head_ms, inner_ms, tail_ms) >= 60000, false) AS large FROM q",
-    "completeness": f"WITH {_GAPS}, {_FLAG} SELECT segment_name, is_first, is_last, NOT (coalesce(head_ms >= 60000 AND NOT is_first, false) OR coalesce(inner_ms >= 60000, false) OR coalesce(tail_ms >= 60000 AND NOT is_last, false)) AS covered FROM q JOIN f USING (segment_name)",
+    "completeness": f"""WITH {_GAPS}, {_FLAG}, {_LOAD}
+SELECT f.segment_name, coalesce(n_responses, 0) AS n_responses, is_first, is_last,
+ coalesce(n_responses, 0) > 0 AND why IS NULL AND (n_responses > 1 OR is_first OR is_last OR NOT coalesce(greatest(head_ms, inner_ms, tail_ms) >= 60000, false)) AS complete
+FROM f LEFT JOIN v USING (segment_name) LEFT JOIN q USING (segment_name)""",
+    "load_check": f"WITH {_C}, {_LOAD} SELECT segment_name, n_responses, why AS reason FROM v",
+    "gap_detection_hof": f"WITH {_GAPS} SELECT segment_name, coalesce(greatest(head_ms, inner_ms, tail_ms) >= 60000, false) AS large FROM q",
+    "empty_segment_gap": """WITH e AS (SELECT event_type, epoch(ts)::BIGINT // 3600 AS hour, epoch_ms(ts) AS t_ms FROM (SELECT event_type, date_trunc('milliseconds', ts) AS ts FROM events)),
+h AS (SELECT event_type, unnest(range(min(hour), max(hour) + 1)) AS hour FROM e GROUP BY event_type),
+g AS (SELECT event_type, hour, t_ms - coalesce(lag(t_ms) OVER (PARTITION BY event_type, hour ORDER BY t_ms), hour * 3600000) AS d, (hour + 1) * 3600000 - t_ms AS rest FROM e),
+m AS (SELECT event_type, hour, greatest(max(d), min(rest)) AS most FROM g GROUP BY event_type, hour)
+SELECT h.event_type, h.hour, coalesce(most, 3600000) >= 900000 AS large FROM h LEFT JOIN m USING (event_type, hour)""",
+    "srt_roundtrip": f"WITH {_STITCH} SELECT media_id, cue_no, start_ms, end_ms, rtrim(coalesce(text, ''), chr(10)) AS text FROM s",
+    "yaml_state_roundtrip": f"""WITH {_C}, n AS (SELECT segment_name, count(DISTINCT attempt) AS n, max(attempt) AS attempt FROM c GROUP BY segment_name)
+SELECT segment_name AS name, n::INT AS total_attempts, duration_ms::INT AS video_duration_ms, (row_number() OVER (PARTITION BY segment_name ORDER BY pos, cue_id) - 1)::INT AS no, start_tc, end_tc, original, english FROM c JOIN n USING (segment_name, attempt) JOIN d USING (segment_name)""",
+    "version_filter": f"WITH {_C} SELECT segment_name AS name, count(DISTINCT attempt)::INT AS n_responses FROM c JOIN d USING (segment_name) WHERE seg_idx % 3 = 1 GROUP BY segment_name",
     "segment_offsets": f"WITH {_C}, {_OFF} SELECT media_id, seg_idx, offset_ms FROM o",
     "start_offset_skip": f"WITH {_C}, {_OFF} SELECT media_id, seg_idx, offset_ms, duration_ms FROM o WHERE seg_idx >= 1",
     "boundary_flags": f"WITH {_C}, {_FLAG} SELECT media_id, seg_idx, is_first, is_last FROM f",
@@ -299,7 +409,10 @@ SELECT segment_name, count(*) AS n_scenes, min(CASE WHEN why IS NOT NULL THEN po
     "segment_assign": "SELECT event_id, event_type AS media_id, rel // 21600000 AS seg_idx, rel % 21600000 AS start_ms FROM (SELECT event_id, event_type, epoch_us(ts) // 1000 - 1704067200000 AS rel FROM events)",
     "stitch": f"WITH {_STITCH} SELECT media_id, cue_no, seg_idx, pos, start_ms, end_ms, text FROM s",
     "stitch_summary": f"WITH {_STITCH} SELECT media_id, count(*) AS n_cues, count(*) FILTER (WHERE pos < 0) AS n_missing, max(end_ms) AS end_ms FROM s GROUP BY media_id",
-    "srt_render": f"WITH {_STITCH} SELECT media_id, cue_no, cue_no || chr(10) || {_srt_sql('start_ms')} || ' --> ' || {_srt_sql('end_ms')} || chr(10) || coalesce(text, '') AS block FROM s",
-    "replay_inference": f"WITH {_C}, top AS (SELECT segment_name, max(attempt) AS attempt FROM c GROUP BY segment_name), k AS (SELECT segment_name, count(*) AS n FROM c JOIN top USING (segment_name, attempt) GROUP BY segment_name) SELECT d.segment_name AS request_id, n::VARCHAR AS response FROM d LEFT JOIN k USING (segment_name)",
+    "srt_render": f"""WITH {_STITCH} SELECT media_id, cue_no, cue_no || chr(10) || {_srt_sql('start_ms')} || ' --> ' || {_srt_sql('end_ms')} || chr(10) || coalesce(text, '') AS block FROM s
+UNION ALL SELECT DISTINCT media_id, 0, '0' || chr(10) || '00:00:00,000 --> 00:00:00,001' || chr(10) || '("complete": true)' FROM s""",
+    "replay_inference": f"""WITH {_C}, top AS (SELECT segment_name, max(attempt) AS attempt FROM c GROUP BY segment_name),
+k AS (SELECT segment_name, string_agg(concat_ws('|', coalesce(start_tc, ''), coalesce(end_tc, ''), coalesce(original, ''), coalesce(english, '')), chr(10) ORDER BY pos, cue_id) AS response FROM c JOIN top USING (segment_name, attempt) GROUP BY segment_name)
+SELECT d.segment_name AS request_id, response FROM d LEFT JOIN k USING (segment_name)""",
     "stream_once": "SELECT DISTINCT cue_id, segment_name, attempt, pos, original FROM cue",
 }

@@ -80,6 +80,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder. Results are lazy, so it has to stay while the application runs; it is
+    deleted when that ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _forget_at_end(spark.sparkContext, path)
+    return path
+
+
+def _forget_at_end(sc, path: str) -> None:
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(where.getParent())
+    # only what exists can be marked
+    if fs.mkdirs(where):
+        fs.deleteOnExit(where)
+        fs.delete(where, True)

@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-
 CUE_SCHEMA = (
     "cue_id bigint, media_id string, seg_idx int, segment_name string, attempt int, pos int, start_tc string, end_tc string, original string, english string, made_at timestamp_ntz, loaded_at timestamp_ntz"
 )
 
 
-def deliver_once(spark: SparkSession, source: str, key: str = "cue_id", delay: str | None = None) -> DataFrame:
-    """Reads all files under ``source`` as a stream until none is left and appends each key's first row to a table, which is
-    returned. With ``delay``, keys are forgotten that long behind the newest ``made_at`` (bounded state; a
-    redelivery later than that comes through); without, never. Checkpoint and table lie in the shared folder, so a restarted
-    query goes on where it stopped."""
-    place = f"{shared_dir(spark)}/cues-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(CUE_SCHEMA).parquet(source)
-    if delay:
-        once = stream.withColumn("made_at", F.col("made_at").cast("timestamp")).withWatermark("made_at", delay).dropDuplicatesWithinWatermark([key])
-    else:
-        once = stream.dropDuplicates([key])
+def deliver_once(spark: SparkSession, source: str, place: str, key: str = "cue_id", delay: str = "400 days") -> DataFrame:
+    """Reads all files under ``source`` that haven't been read yet as a stream and appends each key's first row to the table in
+    ``place``, which is returned. Where the query stands and which keys it knows lie in ``place`` too: called again with the same
+    place, after a failure or with more files, it goes on where it stopped and delivers only new rows.
+
+    The state is bounded: keys are forgotten ``delay`` behind the newest ``loaded_at``. Within that time files may come in any
+    order; a row that is later still is dropped as too late. Rows without ``loaded_at`` or key are left out.
+    """
+    stream = spark.readStream.schema(CUE_SCHEMA).parquet(source).where(F.col("loaded_at").isNotNull() & F.col(key).isNotNull())
+    once = stream.withColumn("_at", F.col("loaded_at").cast("timestamp")).withWatermark("_at", delay).dropDuplicatesWithinWatermark([key]).drop("_at")
     query = once.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start(f"{place}/table")
     query.awaitTermination()
     return spark.read.schema(once.schema).parquet(f"{place}/table")

@@ -34,7 +34,15 @@ def test_state_files(spark, tmp_path):
     assert [r[0].subtitles[0].english for r in now.select(state.active_response(F.col("responses"))).collect()] == ["b"]
     assert [r[0] for r in every.where("subtitles_prompt_version = 17").select(state.active_response(F.col("responses"))).collect()] == [None]
     state.write_state(now.drop("path"), str(tmp_path / "out"))
-    assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0]) == good
+    files = list((tmp_path / "out").glob("name=part_001/*.txt"))
+    assert len(files) == 1 and json.loads(files[0].read_text()) == good
+    assert state.read_state(spark, str(tmp_path / "out")).drop("path").collect() == now.drop("path").collect()
+
+
+def test_yaml_states(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("name: part_001\ntotal_attempts: 1\nvideo_duration_ms: 5\nlyrics_prompt_version: 9\nresponse:\n  scenes:\n  - start: '00:01'\n    end: '00:02'\n    reference_lyrics_og: |-\n      eins\n      zwei\n", encoding="utf-8")
+    got = state.read_state(spark, str(tmp_path), state.LYRICS_STATE, ("lyrics_prompt_version", 9)).collect()
+    assert [(r.name, r.response.scenes[0].reference_lyrics_og, r.response.global_summary) for r in got] == [("part_001", "eins\nzwei", None)]
 
 
 def test_cue_lists_in_either_spelling(spark):
@@ -43,12 +51,22 @@ def test_cue_lists_in_either_spelling(spark):
     assert got == [[("1", "2", "x", "y")]] * 2 + [None] * 3
 
 
-def test_stream_delivers_once(spark, tmp_path):
-    rows = [(1, "a"), (1, "a"), (2, None)]
-    df = spark.createDataFrame(rows, "cue_id bigint, original string").selectExpr("cue_id", "'m' media_id", "0 seg_idx", "'s' segment_name", "0 attempt", "0 pos", "'' start_tc", "'' end_tc", "original", "'' english", "timestamp_ntz'2025-01-01 00:00:00' made_at", "timestamp_ntz'2025-01-01 00:00:00' loaded_at")
-    df.write.parquet(str(tmp_path / "in"))
-    for delay in (None, "1 hour"):
-        assert sorted((r.cue_id, r.original) for r in deliver_once(spark, str(tmp_path / "in"), delay=delay).collect()) == [(1, "a"), (2, None)]
+def _cue_rows(spark, rows):
+    df = spark.createDataFrame(rows, "cue_id bigint, original string, day int")
+    return df.selectExpr("cue_id", "'m' media_id", "0 seg_idx", "'s' segment_name", "0 attempt", "0 pos", "'' start_tc", "'' end_tc", "original", "'' english", "timestamp_ntz'2025-01-01 00:00:00' made_at", "timestamp_ntz'2025-01-01 00:00:00' + make_interval(0, 0, 0, day) loaded_at")
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """A second run over more files delivers only the new rows; keys are known from the first."""
+    source, place = str(tmp_path / "in"), str(tmp_path / "place")
+    _cue_rows(spark, [(1, "a", 0), (1, "a", 3), (2, None, 1), (None, "x", 1), (9, "undated", None)]).coalesce(1).write.parquet(source)
+    assert sorted((r.cue_id, r.original) for r in deliver_once(spark, source, place).collect()) == [(1, "a"), (2, None)]
+    _cue_rows(spark, [(1, "a", 30), (3, "c", 4), (2, None, 9)]).coalesce(1).write.mode("append").parquet(source)
+    files = set((tmp_path / "place" / "table").glob("*.parquet"))
+    assert sorted((r.cue_id, r.original) for r in deliver_once(spark, source, place).collect()) == [(1, "a"), (2, None), (3, "c")]
+    new = [str(f) for f in (tmp_path / "place" / "table").glob("*.parquet") if f not in files]
+    assert [r.cue_id for r in spark.read.parquet(*new).collect()] == [3]
+    assert deliver_once(spark, source, place).count() == 3
 
 
 def test_settings_precedence_and_mask():
