@@ -118,25 +118,27 @@ def validate_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.response_verdicts(checked, ["segment_name"]).withColumnRenamed("n_cues", "n_scenes")
 
 
-def _timed(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Cues with their times as delivered, so perhaps more than once; for what doesn't count them."""
-    return validate.with_times(table(spark, sf_dir, "cue").select("cue_id", "segment_name", "attempt", "pos", "start_tc", "end_tc", *more))
+def _once(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Cues with their times, each once, written: the table is read, cleared of repetitions and its time-codes are parsed once, and
+    what follows works on the result. Repetitions go first, so that parsing is spread over all cores, however the
+    table's files are cut."""
+    c = table(spark, sf_dir, "cue").select("cue_id", "segment_name", "attempt", "pos", "start_tc", "end_tc", *more).distinct()
+    return materialise(validate.with_times(c).drop("start_tc", "end_tc"), "cues")
 
 
-def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _active(spark: SparkSession, sf_dir: str, once: DataFrame) -> DataFrame:
     """``segment_name, attempt, n``: the active response of each segment where it is valid as a whole, and its number of cues: one
-    aggregate by response and one by segment. One row a segment, written, so that its size is known where it is joined."""
-    c = _timed(spark, sf_dir).join(_segments(spark, sf_dir).select("segment_name", "duration_ms"), "segment_name")
-    per = c.groupBy("segment_name", "attempt").agg(F.count_distinct("cue_id").alias("n"), F.max(validate.cue_reason().isNotNull()).alias("bad"))
-    top = per.groupBy("segment_name").agg(F.max(F.struct("attempt", "n", "bad")).alias("x"), F.lit(True).alias("known"))
-    known = table(spark, sf_dir, "segment").where("duration_ms is not null").select("segment_name").distinct()
-    return materialise(top.where("not x.bad").join(known, "segment_name", "left_semi").select("segment_name", "x.attempt", "x.n"), "active")
+    aggregate by response and one by segment, so one row a segment."""
+    c = once.join(_segments(spark, sf_dir).select("segment_name", "duration_ms"), "segment_name")
+    per = c.groupBy("segment_name", "attempt").agg(F.count("*").alias("n"), F.max(validate.cue_reason().isNotNull()).alias("bad"), F.max(F.col("duration_ms").isNull()).alias("unknown"))
+    top = per.groupBy("segment_name").agg(F.max(F.struct("attempt", "n", "bad", "unknown")).alias("x"))
+    return top.where("not x.bad and not x.unknown").select("segment_name", "x.attempt", "x.n")
 
 
-def _valid_cues(spark: SparkSession, sf_dir: str, active: DataFrame | None = None) -> DataFrame:
-    """Cues of the active response of each segment, where it is valid as a whole, as delivered."""
-    a = active if active is not None else _active(spark, sf_dir)
-    return _timed(spark, sf_dir, "original", "english").join(a.select("segment_name", "attempt"), ["segment_name", "attempt"])
+def _valid_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues of the active response of each segment, where it is valid as a whole."""
+    once = _once(spark, sf_dir)
+    return once.join(_active(spark, sf_dir, once).select("segment_name", "attempt"), ["segment_name", "attempt"])
 
 
 _C = f"""c AS (SELECT DISTINCT cue_id, segment_name, attempt, pos, start_tc, end_tc, original, english, {ms_sql("start_tc")} AS start_ms, {ms_sql("end_tc")} AS end_ms FROM cue),
@@ -181,18 +183,23 @@ def gap_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("large", gaps.has_large_gap(60_000))
 
 
+def _loadable(spark: SparkSession, sf_dir: str, once: DataFrame) -> DataFrame:
+    return validate.load_verdicts(once.join(_segments(spark, sf_dir).select("segment_name", "duration_ms"), "segment_name", "left"))
+
+
 def load_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each segment's stored responses would be taken up again: time-codes of all of them, duration of the last."""
-    c = _timed(spark, sf_dir).join(_segments(spark, sf_dir).select("segment_name", "duration_ms"), "segment_name", "left")
-    return validate.load_verdicts(c)
+    return _loadable(spark, sf_dir, _cues(spark, sf_dir))
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether nothing more is to be asked for a segment: a segment that has been verified once, and the first and last of a medium,
     are complete as they are; others if they have no large gap; those without a loadable response never."""
-    flags = segments.boundary_flags(_segments(spark, sf_dir)).select("segment_name", "is_first", "is_last")
-    g = gap_detection(spark, sf_dir).select("segment_name", "large")
-    j = flags.join(load_check(spark, sf_dir), "segment_name", "left").join(g, "segment_name", "left")
+    once, s = _once(spark, sf_dir), _segments(spark, sf_dir)
+    flags = segments.boundary_flags(s).select("segment_name", "is_first", "is_last")
+    cues = once.join(_active(spark, sf_dir, once).select("segment_name", "attempt"), ["segment_name", "attempt"])
+    g = gaps.largest_gaps(cues, s.select("segment_name", "duration_ms")).select("segment_name", gaps.has_large_gap(60_000).alias("large"))
+    j = flags.join(_loadable(spark, sf_dir, once), "segment_name", "left").join(g, "segment_name", "left")
     n, loaded = F.coalesce("n_responses", F.lit(0)), F.col("n_responses").isNotNull() & F.col("reason").isNull()
     done = gaps.complete(n, loaded, F.coalesce("large", F.lit(True)), F.col("is_first"), F.col("is_last"))
     return j.select("segment_name", n.alias("n_responses"), "is_first", "is_last", done.alias("complete"))
@@ -241,9 +248,9 @@ def segment_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    active = _active(spark, sf_dir)
-    cues = _valid_cues(spark, sf_dir, active).select("segment_name", "pos", "start_ms", "end_ms", merge_bilingual(F.col("original"), F.col("english")).alias("text"))
-    return stitch(_segments(spark, sf_dir), cues, active.select("segment_name", "n"))
+    once = _once(spark, sf_dir, "original", "english")
+    cues = once.select("segment_name", "attempt", "pos", "start_ms", "end_ms", merge_bilingual(F.col("original"), F.col("english")).alias("text"))
+    return stitch(_segments(spark, sf_dir), cues, _active(spark, sf_dir, once))
 
 
 def stitch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
