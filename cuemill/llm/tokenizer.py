@@ -9,7 +9,7 @@ table of pairs, and rows without a pair left are compacted away. There is no shu
 from __future__ import annotations
 
 import base64
-import os
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 
 from .codepoints import STEP, flatten, mix, ragged
 
+#: Bytes of the largest vocabulary that is sent to all tasks; the public ones have one to four million.
+LARGEST = 64 << 20
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The endings that the public pattern splits off after an apostrophe.
@@ -154,9 +156,12 @@ class PairTable:
 class Encoder:
     """Encodes texts; keeps the ids of pieces it has met, up to ``cache`` pieces."""
 
-    def __init__(self, vocabulary: str, cache: int = 1_000_000):
-        with open(vocabulary, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, vocabulary: str | bytes, cache: int = 1_000_000):
+        """``vocabulary``: a rank file's path, or what stands in it."""
+        if isinstance(vocabulary, str):
+            with open(vocabulary, "rb") as f:
+                vocabulary = f.read()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs, self.classes, self.cache = PairTable(self.ranks), ClassTable(), cache
         self.clear()
@@ -285,24 +290,28 @@ def _weights() -> np.ndarray:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """The worker's encoder of a vocabulary; read once per Python worker."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+def encoder(name: str, sent) -> Encoder:
+    """The worker's encoder of a vocabulary; made once per Python worker."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(sent.value)
+    return _encoders[name]
 
 
 def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``doc_id, ids``: the token ids of each text, without special tokens; what looks like one is plain text.
 
     A null and an empty text both give an empty list. Every row of ``df`` gives one row, repeated ids included; an
-    empty table an empty result. ``vocabulary`` is a rank file that every executor can read under that path.
+    empty table an empty result. ``vocabulary`` is a rank file that the driver can read under that path; executors get what
+    stands in it, ``LARGEST`` bytes at most, however large the corpus is.
     """
-    if not os.path.exists(vocabulary):
-        raise FileNotFoundError(vocabulary)
+    with open(vocabulary, "rb") as f:
+        ranks = f.read(LARGEST + 1)
+    if len(ranks) > LARGEST:
+        raise ValueError(f"{vocabulary} is no vocabulary: more than {LARGEST} bytes")
+    name, sent = hashlib.blake2b(ranks).hexdigest(), df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(name, sent)
         for b in batches:
             ids_of, texts = b.column(0).cast(pa.int64()), [x or "" for x in b.column(1).to_pylist()]
             lo = size = 0

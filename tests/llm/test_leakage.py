@@ -120,3 +120,40 @@ def test_symbols_dont_depend_on_the_layout(a, b):
     (y, _), _ = symbols([b])
     assert x.tolist() == y.tolist()
     assert strip_markup("a < b") == "a < b"
+
+
+def _edited(rng, q, other, per):
+    """A quotation with at most one edit in ``per`` symbols of what results, at random places, never at its ends."""
+    t = rng.randrange(0, len(q) // per + 1)
+    if rng.random() < 0.3:  # side by side
+        at = rng.randrange(1, max(2, len(q) - t - 1))
+        places = range(at, min(at + t, len(q) - 1))
+    else:
+        places = rng.sample(range(1, len(q) - 1), t)
+    q = list(q)
+    for k in sorted(places, reverse=True):
+        q[k : k + 1] = rng.choice(([other()], [], [q[k], other()]))
+    return q
+
+
+def test_recall_in_both_scripts(spark):
+    """Quotations of every allowed length and edits, made up: all of them found, and no shorter one."""
+    rng = random.Random(12)
+    docs, want = [], set()
+    for n in range(300):
+        i, p = PASSAGES[rng.randrange(25)]
+        w = p.split()
+        long = rng.randrange(23, 49)  # 20 words are left when one in eight was dropped
+        at = rng.randrange(0, 60 - long)
+        docs.append((n, text_with(_edited(rng, w[at : at + long], lambda: rng.choice(WORDS) + "y", 8))))
+        want.add((n, i))
+        docs.append((1000 + n, text_with(w[at : at + rng.randrange(1, 10)])))
+    for n in range(300, 600):
+        i, p = PASSAGES[25 + rng.randrange(10)]
+        long = rng.randrange(65, 150)
+        at = rng.randrange(0, 200 - long)
+        docs.append((n, "前後" * 9 + "".join(_edited(rng, p[at : at + long], lambda: rng.choice("々仝〆"), 15)) + "後前" * 9))
+        want.add((n, i))
+        docs.append((1000 + n, "前後" * 9 + p[at : at + rng.randrange(1, 25)] + "後前" * 9))
+    got = run(spark, docs, PASSAGES)
+    assert got <= want and len(got) >= 0.99 * len(want), (len(got), len(want))
