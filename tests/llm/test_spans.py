@@ -41,7 +41,10 @@ def test_random_texts(spark, alphabet, span, seed):
     docs += [(1000 + i, docs[i][1]) for i in range(8)]  # whole copies under other ids
     docs += docs[:5]  # rows delivered twice
     docs += [(2000, None), (2001, ""), (None, docs[0][1]), (2002, "z" * span * 3)]
-    assert run(spark, docs, span=span, seed=seed) == brute(docs, span)
+    want = brute(docs, span)
+    assert run(spark, docs, span=span, seed=seed) == want
+    assert run(spark, docs, span=span, seed=seed, hot=3) == want  # many anchors hot
+    assert run(spark, docs, span=span, seed=seed, hot=0) == want
 
 
 def test_seed_doesnt_change_the_result(spark):
