@@ -104,7 +104,7 @@ def merge_intervals(df: DataFrame, entity: str, version: str, start: str, end: s
     whose start or end is null or with start not before end is ignored, but its version still counts as the entity's
     highest. Rows alike in start, end and ``key`` are one record. Rows with a null entity or version are left out.
     Result: entity, version, from_ms, to_ms, n (records), prev_ms (the end of what lies before, 0 at the head, so
-    ``from_ms - prev_ms`` is the gap before the island). Other columns of ``df``, of whatever name, aren't read.
+    ``from_ms - prev_ms`` is the gap before the island), written once. Other columns of ``df``, of whatever name, aren't read.
     """
     spark = df.sparkSession
     ok = F.col(start) < F.col(end)
@@ -136,7 +136,7 @@ def merge_intervals(df: DataFrame, entity: str, version: str, start: str, end: s
     )
     # pieces of one island that lie in several partitions meet here; only torn entities can have any
     met = known.where("torn").groupBy("entity", "version", "from_ms").agg(F.max("to_ms").alias("to_ms"), F.sum("n").alias("n"), F.min("prev_ms").alias("prev_ms"))
-    return known.where("not torn").drop("torn").unionByName(met)
+    return materialise(known.where("not torn").drop("torn").unionByName(met), "merged")
 
 
 def periods_and_gaps(islands: DataFrame, spans: DataFrame, min_gap_ms: int = 2000, min_records: int = 2) -> DataFrame:
@@ -146,12 +146,14 @@ def periods_and_gaps(islands: DataFrame, spans: DataFrame, min_gap_ms: int = 200
     and after the last (to the duration); an entity of ``spans`` without islands gives one gap over its whole
     duration, however short. An entity without a known duration has no last gap.
     """
-    periods = islands.where(F.col("n") >= min_records).select(F.lit("period").alias("kind"), "entity", "from_ms", "to_ms")
-    inner = islands.where(F.col("from_ms") - F.col("prev_ms") >= min_gap_ms).select(F.lit("gap").alias("kind"), "entity", F.col("prev_ms").alias("from_ms"), F.col("from_ms").alias("to_ms"))
+    # of each island the period it is and the gap before it, in one pass
+    period = F.when(F.col("n") >= min_records, F.struct(F.lit("period").alias("kind"), F.col("from_ms"), F.col("to_ms")))
+    before = F.when(F.col("from_ms") - F.col("prev_ms") >= min_gap_ms, F.struct(F.lit("gap").alias("kind"), F.col("prev_ms").alias("from_ms"), F.col("from_ms").alias("to_ms")))
+    found = islands.select("entity", F.explode(F.array_compact(F.array(period, before))).alias("x")).select("x.kind", "entity", "x.from_ms", "x.to_ms")
     last = islands.groupBy("entity").agg(F.max("to_ms").alias("last_ms"))
     tail = (
         spans.join(last, "entity", "left")
         .where((F.col("last_ms").isNull() & (F.col("duration_ms") > 0)) | (F.col("duration_ms") - F.col("last_ms") >= min_gap_ms))
         .select(F.lit("gap").alias("kind"), "entity", F.coalesce("last_ms", F.lit(0)).cast("bigint").alias("from_ms"), F.col("duration_ms").cast("bigint").alias("to_ms"))
     )
-    return periods.unionByName(inner).unionByName(tail)
+    return found.unionByName(tail)

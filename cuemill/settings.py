@@ -7,13 +7,26 @@ import os
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
-MASKED = ("key", "base_url", "input_file", "out_dir", "tmp_dir")
+#: Fixed value: what is never part of a rendered settings text: secrets, addresses and paths.
+MASKED = ("key", "base_url", "input_file", "folders")
+
+
+@dataclass
+class ReEncode:
+    enabled: bool = False
+    fps: float = 1.0
+    height: int = 360
+    bitrate_kb: int = 35
+    threshold_mb: int = 20
+    duration_tolerance_ms: int = 100
+    encoder: str | None = None
 
 
 @dataclass
 class Split:
     max_seconds: int = 300
     start_offset_min: float = 0.0
+    re_encode: ReEncode = field(default_factory=ReEncode)
 
 
 @dataclass
@@ -31,17 +44,56 @@ class Limits:
     tokens_per_minute: int = 250_000
     search_qps: float = 0.3
     search_max_length: int = 4096
+    search_timeout: float = 60.0
+    max_storage_gb: float = 18.0
+    list_ttl: int = 10
     key: str | None = None
     base_url: str | None = None
 
 
+@dataclass
+class Retry:
+    per_run: int = 5
+    max_runs: int = 3
+    multiplier: float = 2.0
+    min_wait_seconds: float = 30.0
+    max_wait_seconds: int = 300
+
+
+@dataclass
+class SearchRetry:
+    retries: int = 3
+    multiplier: float = 2.0
+    min_wait_seconds: float = 1.0
+    max_wait_seconds: float = 10.0
+
+
+@dataclass
+class Threads:
+    uploads: int = 4
+    re_encode: int = 2
+    lyrics: int = 4
+    subtitles: int = 4
+
+
+@dataclass
+class Folders:
+    tmp: str | None = None
+    out: str | None = None
+
+
 @dataclass
 class Settings:
     model_subtitles: str = "gemini-flash"
     model_lyrics: str = "gemini-flash-lite"
+    input_file: str | None = None
     split: Split = field(default_factory=Split)
     checks: Checks = field(default_factory=Checks)
     limits: Limits = field(default_factory=Limits)
+    retry: Retry = field(default_factory=Retry)
+    search_retry: SearchRetry = field(default_factory=SearchRetry)
+    threads: Threads = field(default_factory=Threads)
+    folders: Folders = field(default_factory=Folders)
 
 
 def _apply(target, values: Mapping[str, object]) -> None:
@@ -61,20 +113,39 @@ def _apply(target, values: Mapping[str, object]) -> None:
             setattr(target, k, str(v).strip().strip('"').strip("'") if k == "key" else str(v))
 
 
-def load(arguments: Mapping[str, object] | None = None, environment: Mapping[str, str] | None = None, prefix: str = "CUEMILL_") -> Settings:
-    """Arguments win over the environment (``PREFIX`` and names joined by ``__``), which wins over the defaults."""
-    s, nested = Settings(), {}
-    for k, v in (os.environ if environment is None else environment).items():
-        if k.startswith(prefix):
-            at = nested
-            *path, last = k[len(prefix) :].lower().split("__")
-            for p in path:
-                at = at.setdefault(p, {})
-            at[last] = v
-    _apply(s, nested)
+def read_env(path: str | os.PathLike) -> dict[str, str]:
+    """``NAME=value`` lines of a file, without comments, ``export`` and quotes; empty if there is no such file."""
+    try:
+        lines = open(path, encoding="utf-8").read().splitlines()
+    except FileNotFoundError:
+        return {}
+    out = {}
+    for line in lines:
+        name, sign, value = line.strip().removeprefix("export ").partition("=")
+        if sign and not name.startswith("#"):
+            value = value.strip()
+            out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return out
+
+
+def load(arguments: Mapping[str, object] | None = None, environment: Mapping[str, str] | None = None, prefix: str = "CUEMILL_", env_file: str | os.PathLike | None = ".env") -> Settings:
+    """Arguments win over the environment (``PREFIX`` and names joined by ``__``), which wins over the file ``env_file`` of the same
+    names, which wins over the defaults."""
+    s = Settings()
+    for source in (read_env(env_file) if env_file else {}, os.environ if environment is None else environment):
+        nested: dict = {}
+        for k, v in source.items():
+            if k.startswith(prefix):
+                at = nested
+                *path, last = k[len(prefix) :].lower().split("__")
+                for p in path:
+                    at = at.setdefault(p, {})
+                at[last] = v
+        _apply(s, nested)
     _apply(s, arguments or {})
-    if s.split.max_seconds <= 0 or s.limits.search_qps <= 0:
-        raise ValueError("max_seconds and search_qps must be positive")
+    positive = {"max_seconds": s.split.max_seconds, "search_qps": s.limits.search_qps, "requests_per_minute": s.limits.requests_per_minute, "tokens_per_minute": s.limits.tokens_per_minute, "gap_seconds": s.checks.gap_seconds, "fps": s.split.re_encode.fps}
+    if bad := [k for k, v in positive.items() if v <= 0]:
+        raise ValueError(f"must be positive: {', '.join(bad)}")
     return s
 
 

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from cuemill.settings import Settings, load, masked_json
 from cuemill.sources import srt, state
 from cuemill.streaming.cues import deliver_once
@@ -69,7 +71,13 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert deliver_once(spark, source, place).count() == 3
 
 
-def test_settings_precedence_and_mask():
+def test_settings_precedence_and_mask(tmp_path):
     s = load({"split": {"max_seconds": 200}, "unknown": 1}, {"CUEMILL_SPLIT__MAX_SECONDS": "100", "CUEMILL_LIMITS__KEY": ' "secret" ', "CUEMILL_CHECKS__IGNORE_START": "no"})
     assert (s.split.max_seconds, s.limits.key, s.checks.ignore_start) == (200, "secret", False)
+    env = tmp_path / ".env"
+    env.write_text('# not this\nCUEMILL_RETRY__PER_RUN=7\nexport CUEMILL_SPLIT__RE_ENCODE__FPS="0.5"\nCUEMILL_FOLDERS__OUT=/somewhere\nother=1\n')
+    t = load({}, {"CUEMILL_RETRY__PER_RUN": "2"}, env_file=env)
+    assert (t.retry.per_run, t.split.re_encode.fps, t.folders.out) == (2, 0.5, "/somewhere") and "somewhere" not in masked_json(t)
+    with pytest.raises(ValueError):
+        load({"checks": {"gap_seconds": 0}}, {})
     assert "secret" not in masked_json(s) and "key" not in json.loads(masked_json(Settings()))["limits"]
