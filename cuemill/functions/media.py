@@ -27,8 +27,9 @@ def tolerance_ms(base: Column | int, fps: Column) -> Column:
 
 
 def same_stream(duration: Column, other_duration: Column, fps: Column, other_fps: Column, tolerance: Column) -> Column:
-    """Whether a stored re-encoding can stand for the wanted one: durations within the tolerance, frame rates within 0.01."""
-    return (F.abs(duration - other_duration) <= tolerance) & (F.abs(fps - other_fps) <= 0.01)
+    """Whether a stored re-encoding can stand for the wanted one: durations and frame rates strictly within the tolerance and 0.01.
+    What can't be probed can't stand for it."""
+    return F.coalesce((F.abs(duration - other_duration) < tolerance) & (F.abs(fps - other_fps) < 0.01), F.lit(False))
 
 
 def split_reusable(total: Column, whole: Column, n: Column, tolerance: int) -> Column:
@@ -40,6 +41,11 @@ def bits_per_second(kilobytes: Column) -> Column:
     return kilobytes * 1024 * 8
 
 
+def buffer_bits(kilobytes: Column) -> Column:
+    """The rate buffer: two seconds of the bit rate."""
+    return bits_per_second(kilobytes) * 2
+
+
 def key_frame_distance(fps: Column) -> Column:
     return F.floor(fps * 10).cast("int")
 

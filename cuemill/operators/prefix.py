@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, parallelism
@@ -15,24 +15,32 @@ def sums_before(df: DataFrame, key: str, order: str, values: dict[str, str]) ->
     """Adds for each ``new: column`` of ``values`` the sum of the column over the key's rows with a smaller ``order``, an integer
     that numbers the key's rows (ties count as not before). Sums go over blocks of ``BLOCK`` numbers first and within a
     block then, so that a key with very many rows is spread over as many windows. Nulls count as 0; a null key is one key."""
-    block = F.floor(F.col(order) / BLOCK).alias("_block")
-    b = df.withColumn("_block", block)
-    blocks = b.groupBy(key, "_block").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(f"_{n}") for n, c in values.items()])
-    over = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), *[F.coalesce(F.sum(f"_{n}").over(over), F.lit(0)).alias(f"_{n}") for n in values])
-    within = Window.partitionBy(key, "_block").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    b = b.withColumns({n: F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(within), F.lit(0)) for n, c in values.items()})
-    j = b.join(blocks, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_b")))
-    return j.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).cast("bigint").alias(n) for n in values])
-
-
-def running_before(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over all rows before this one in the given order, which must tell rows apart. Rows are
-    range-sorted over the cluster and written once; partitions' sums, one row each, are combined and joined back."""
-    ranged = materialise(df.repartitionByRange(parallelism(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    parts = ranged.groupBy("_part").agg(F.sum(F.coalesce(value, F.lit(0))).alias("_sum"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    parts = parts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumn(name, F.coalesce(F.sum(F.coalesce(value, F.lit(0))).over(within), F.lit(0))).join(parts, "_part")
-    return out.select(*df.columns, (F.col(name) + F.col("_before")).cast("bigint").alias(name))
+    # the row is packed, so that none of its columns can clash with those added here
+    sums = [f"v{i}" for i in range(len(values))]
+    given = [F.coalesce(F.col(c), F.lit(0)).alias(v) for v, c in zip(sums, values.values())]
+    b = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("key"), F.col(order).alias("at"), F.floor(F.col(order) / BLOCK).alias("block"), *given)
+    over = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = b.groupBy("key", "block").agg(*[F.sum(v).alias(v) for v in sums])
+    blocks = blocks.select(F.col("key").alias("b_key"), F.col("block").alias("b_block"), *[F.coalesce(F.sum(v).over(over), F.lit(0)).alias(f"b_{v}") for v in sums])
+    within = Window.partitionBy("key", "block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    b = b.withColumns({f"w_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in sums})
+    j = b.join(blocks, F.col("key").eqNullSafe(F.col("b_key")) & F.col("block").eqNullSafe(F.col("b_block")))
+    return j.select("row.*", *[(F.col(f"w_{v}") + F.col(f"b_{v}")).cast("bigint").alias(n) for n, v in zip(values, sums)])
+
+
+def running_before(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before this one in ascending order of ``order``, nulls first, which must tell
+    rows apart. Rows are range-sorted over the cluster and written once; partitions' sums, one row each, are combined and joined back."""
+    keys = [f"k{i}" for i in range(len(order))]
+    slim = df.select(F.struct(*df.columns).alias("row"), *[c.alias(k) for c, k in zip(map(_plain, order), keys)], F.coalesce(F.col(value), F.lit(0)).alias("v"))
+    by = [F.col(k).asc_nulls_first() for k in keys]
+    ranged = materialise(slim.repartitionByRange(parallelism(df.sparkSession), *by).withColumn("part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    parts = ranged.groupBy("part").agg(F.sum("v").alias("s")).select("part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"))
+    within = Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("w", F.coalesce(F.sum("v").over(within), F.lit(0))).join(parts, "part")
+    return out.select("row.*", (F.col("w") + F.col("s")).cast("bigint").alias(name))
+
+
+def _plain(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c

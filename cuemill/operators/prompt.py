@@ -24,8 +24,18 @@ def segment_prompts(segments: DataFrame, scenes: DataFrame, template: str = TEMP
     return j.select("segment_name", F.coalesce(F.size("_s"), F.lit(0)).alias("n_scenes"), F.format_string(template, scenes_json(F.when(F.col("_s").isNotNull(), bare))).alias("prompt"))
 
 
+def seconds(ms: Column) -> Column:
+    """Seconds with one decimal, rounded as the binary number is that stands for them: where a half is just below its decimal, down.
+    (The JVM's formatting rounds the decimal.)"""
+    d, t = ms / 1000.0, F.pmod(ms, F.lit(1000)) / 1000.0
+    below = d - F.floor(d)  # exact
+    half = F.when(below < t, 0).when(below > t, 1).when(F.pmod(ms, F.lit(1000)).isin(50, 450, 550, 650, 750), 1).otherwise(0)
+    tenths = F.floor(ms / 100) + F.when(F.pmod(ms, F.lit(100)) > 50, 1).when(F.pmod(ms, F.lit(100)) == 50, half).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+
+
 def verification_prompt(prompt: Column, duration_ms: Column) -> Column:
     """The prompt of a second pass over a segment in which large gaps were found."""
     # the tag is a fixed value
-    note = F.format_string("<verification_pass>\n  Regenerate all subtitles of the segment (%.1f seconds); leave nothing out.\n</verification_pass>", duration_ms / 1000.0)
+    note = F.format_string("<verification_pass>\n  Regenerate all subtitles of the segment (%s seconds); leave nothing out.\n</verification_pass>", seconds(duration_ms))
     return F.concat(prompt, F.lit("\n\n"), note)

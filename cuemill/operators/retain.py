@@ -28,6 +28,6 @@ def evict(remote: DataFrame, required_bytes: int, capacity: int | None = None, c
     total = remote.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("_total"))
     cap = F.lit(capacity) if capacity is not None else F.floor(F.col("_total") * F.lit(float(capacity_share))).cast("bigint")
     managed = remote.where(is_managed(F.col("display_name"))).withColumn("_at", F.coalesce("expiration_time", "create_time"))
-    m = running_before(managed, [F.col("_at").asc_nulls_first(), F.col("remote_name")], "size_bytes", "_deleted")
+    m = running_before(managed, ["_at", "remote_name"], "size_bytes", "_deleted")
     m = m.join(F.broadcast(total), F.lit(True))  # one row
     return m.where(F.col("_total") + F.lit(required_bytes) - F.col("_deleted") > cap).select("remote_name", "size_bytes")

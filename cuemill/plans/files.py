@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ident, media
-from ..operators import policy, retain, search
+from ..operators import policy, retain, search, segments
 from ..session import table
 from ..settings import Settings, masked_json
 
@@ -129,6 +129,25 @@ def media_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reencode_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment against a stored re-encoding whose duration and frame rate are off by some amount: may it be used again?"""
+    s = table(spark, sf_dir, "segment").select("segment_name", "seg_idx", "duration_ms").distinct()
+    fps = F.element_at(F.array(*[F.lit(x) for x in (1.0, 0.5, 25.0)]), (F.col("seg_idx") % 3 + 1).cast("int"))
+    other = F.element_at(F.array(F.lit(0.0), F.lit(0.004), F.lit(0.02), F.lit(None).cast("double")), (F.col("seg_idx") % 4 + 1).cast("int"))
+    off = F.element_at(F.array(*[F.lit(x) for x in (0, 99, 100, -101, 2099, 2100)]), (F.col("seg_idx") % 6 + 1).cast("int"))
+    p = s.select("segment_name", "duration_ms", fps.alias("fps"), (fps + other).alias("other_fps"), (F.col("duration_ms") + off).alias("other_ms"))
+    rate = (F.col("fps") * 35).cast("int")
+    return p.select("segment_name", media.same_stream(F.col("duration_ms"), F.col("other_ms"), F.col("fps"), F.col("other_fps"), media.tolerance_ms(100, F.col("fps"))).alias("reusable"), media.bits_per_second(rate).alias("bits"), media.buffer_bits(rate).alias("buffer"))
+
+
+def split_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the stored segments still make up each medium, whose length is off by some seconds."""
+    s = segments.latest(table(spark, sf_dir, "segment"), "segment_name").where("media_id is not null")
+    t = segments.media_totals(s, 100)
+    whole = F.col("total_ms") + F.pmod(F.length("media_id") * 97 + F.col("n_segments") * 13, F.lit(4)) * 50 * F.col("n_segments")
+    return t.select("media_id", "n_segments", media.split_reusable(F.col("total_ms"), whole, F.col("n_segments"), 100).alias("reusable"))
+
+
 STATUSES = (200, 404, 429, 500, 501, 502, 503, 504)
 #: Model names in the forms that occur; combined with the parts below.
 PREFIXES, TIERS, SUFFIXES = ("google-gla:gemini-", "gemini-", "openai:gpt-", "claude-"), ("flash-lite", "flash", "pro", "ultra"), ("", "-preview", "-exp", "_001")
@@ -169,6 +188,8 @@ QUERIES = {
     "rate_windows": rate_windows,
     "shortcodes": shortcodes,
     "media_probe": media_probe,
+    "reencode_check": reencode_check,
+    "split_reuse": split_reuse,
     "settings_mask": settings_mask,
 }
 
@@ -216,6 +237,11 @@ f AS (SELECT *, first_value(search_query) OVER (PARTITION BY query_key ORDER BY
 SELECT f.search_query, query_key, f.search_query = first_query AS sent, n_results, results FROM f JOIN g ON g.search_query = first_query""",
     "retry_kinds": """WITH s AS (SELECT event_id, ([200, 404, 429, 500, 501, 502, 503, 504])[event_id % 8 + 1]::INT AS status, event_id % 2 = 0 AS told FROM events)
 SELECT event_id, status, status IN (429, 500, 502, 503, 504) AS retryable, status = 429 AND told AS quota FROM s""",
+    "reencode_check": """WITH s AS (SELECT DISTINCT segment_name, duration_ms, ([1.0::DOUBLE, 0.5, 25.0])[seg_idx % 3 + 1] AS fps, ([0.0::DOUBLE, 0.004, 0.02, NULL])[seg_idx % 4 + 1] AS other, ([0, 99, 100, -101, 2099, 2100])[seg_idx % 6 + 1] AS off FROM segment)
+SELECT segment_name, coalesce(abs(off) < 100 + CASE WHEN fps < 1 THEN 2000 ELSE 0 END AND abs(fps - (fps + other)) < 0.01, false) AS reusable, (trunc(fps * 35) * 8192)::INT AS bits, (trunc(fps * 35) * 16384)::INT AS buffer FROM s WHERE duration_ms IS NOT NULL
+UNION ALL SELECT segment_name, false, (trunc(fps * 35) * 8192)::INT, (trunc(fps * 35) * 16384)::INT FROM s WHERE duration_ms IS NULL""",
+    "split_reuse": """WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_name ORDER BY loaded_at DESC) AS rn FROM segment) WHERE rn = 1 AND media_id IS NOT NULL)
+SELECT media_id, count(*) AS n_segments, ((length(media_id) * 97 + count(*) * 13) % 4) * 50 < 100 AS reusable FROM d GROUP BY media_id""",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "token_estimate": "SELECT doc_id, floor(100 + length(coalesce(text, '')) + (doc_id % 300000) / 1000.0::DOUBLE * 300)::BIGINT AS tokens FROM documents",
     "window_limits": "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS window_s, count(*) AS n_requests, sum(round(value * 100)::BIGINT)::BIGINT AS sum_weight, count(*) > 4 OR sum(round(value * 100)::BIGINT) > 100000 AS breach FROM events GROUP BY 1, 2",

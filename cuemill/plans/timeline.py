@@ -11,7 +11,7 @@ from ..functions.text import merge_bilingual, newlines, normalise_text
 from ..functions.timecode import timecode_ms
 from ..operators import gaps, segments, validate
 from ..operators.intervals import merge_intervals, periods_and_gaps
-from ..operators.prompt import segment_prompts
+from ..operators.prompt import segment_prompts, verification_prompt
 from ..operators.stitch import PLACEHOLDER, headed, stitch
 from ..session import fresh_dir, materialise, table
 from ..sources import srt, state
@@ -60,7 +60,7 @@ UNION ALL SELECT 'gap', segment_name, coalesce(t, 0), duration_ms FROM l WHERE (
 # ---- cues: reading, repairing, checking -----------------------------------------------------------------------------
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cue once, with its times."""
-    c = table(spark, sf_dir, "cue").select("cue_id", "segment_name", "attempt", "pos", "start_tc", "end_tc", "original", "english").distinct()
+    c = table(spark, sf_dir, "cue").select("cue_id", "segment_name", "seg_idx", "attempt", "pos", "start_tc", "end_tc", "original", "english").distinct()
     return validate.with_times(c)
 
 
@@ -100,7 +100,7 @@ def newline_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cues(spark, sf_dir).join(_segments(spark, sf_dir), "segment_name", "left")
+    return _cues(spark, sf_dir).join(_segments(spark, sf_dir).select("segment_name", "duration_ms"), "segment_name", "left")
 
 
 def validate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,6 +317,24 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_prompts(_segments(spark, sf_dir), s)
 
 
+def cue_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw answers in either spelling of the keys, every third one broken, read into cues: a list is one segment's, so short."""
+    c = _cues(spark, sf_dir).where("segment_name is not null and attempt is not null")
+    short = F.struct(F.col("c.start_tc").alias("s"), F.col("c.end_tc").alias("e"), F.col("c.original").alias("og"), F.col("c.english").alias("en"))
+    long = F.struct(F.col("c.start_tc").alias("start"), F.col("c.end_tc").alias("end"), F.col("c.original").alias("original"), F.col("c.english").alias("english"))
+    lists = c.select("segment_name", "attempt", "seg_idx", "pos", "cue_id", F.struct("start_tc", "end_tc", "original", "english").alias("c")).select("segment_name", "attempt", "seg_idx", F.struct("pos", "cue_id", short.alias("a"), long.alias("b")).alias("x"))
+    g = lists.groupBy("segment_name", "attempt").agg(F.array_sort(F.collect_list("x")).alias("l"), F.min("seg_idx").alias("i"))
+    raw = F.when(F.col("i") % 3 == 0, F.to_json(F.struct(F.transform("l", lambda x: x["a"]).alias("subs")))).when(F.col("i") % 3 == 1, F.to_json(F.struct(F.transform("l", lambda x: x["b"]).alias("subtitles")))).otherwise(F.lit("{broken"))
+    read = g.select("segment_name", "attempt", state.parse_cue_list(raw).alias("cues")).select("segment_name", "attempt", F.posexplode("cues").alias("no", "c"))
+    return read.select("segment_name", "attempt", "no", F.col("c.start").alias("start_tc"), F.col("c.end").alias("end_tc"), F.col("c.original").alias("original"), F.col("c.english").alias("english"))
+
+
+def verification_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of a second pass over each segment with large gaps."""
+    g = gap_detection(spark, sf_dir).where("large")
+    return g.select("segment_name", verification_prompt(F.lit("Subtitle the segment."), F.col("duration_ms")).alias("prompt"))
+
+
 def replay_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment asked again, answered from the recorded responses: the cues of the active one, a line each."""
     line = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("start_tc", "end_tc", "original", "english")])
@@ -360,6 +378,8 @@ QUERIES = {
     "yaml_state_roundtrip": yaml_state_roundtrip,
     "version_filter": version_filter,
     "prompt_render": prompt_render,
+    "cue_lists": cue_lists,
+    "verification_prompts": verification_prompts,
     "replay_inference": replay_inference,
     "stream_once": stream_once,
 }
@@ -398,6 +418,10 @@ SELECT segment_name, count(*) AS n_scenes, min(CASE WHEN why IS NOT NULL THEN po
 SELECT f.segment_name, coalesce(n_responses, 0) AS n_responses, is_first, is_last,
  coalesce(n_responses, 0) > 0 AND why IS NULL AND (n_responses > 1 OR is_first OR is_last OR NOT coalesce(greatest(head_ms, inner_ms, tail_ms) >= 60000, false)) AS complete
 FROM f LEFT JOIN v USING (segment_name) LEFT JOIN q USING (segment_name)""",
+    "cue_lists": f"""WITH {_C}, i AS (SELECT segment_name, attempt, min(seg_idx) AS i FROM cue GROUP BY segment_name, attempt)
+SELECT segment_name, attempt, (row_number() OVER (PARTITION BY segment_name, attempt ORDER BY pos, cue_id) - 1)::INT AS no, start_tc, end_tc, original, english FROM c JOIN i USING (segment_name, attempt) WHERE i % 3 < 2""",
+    "verification_prompts": f"""WITH {_GAPS} SELECT segment_name, 'Subtitle the segment.' || chr(10) || chr(10) || '<verification_pass>' || chr(10) || '  Regenerate all subtitles of the segment (' || printf('%.1f', duration_ms / 1000.0::DOUBLE) || ' seconds); leave nothing out.' || chr(10) || '</verification_pass>' AS prompt
+FROM q WHERE coalesce(greatest(head_ms, inner_ms, tail_ms) >= 60000, false)""",
     "load_check": f"WITH {_C}, {_LOAD} SELECT segment_name, n_responses, why AS reason FROM v",
     "gap_detection_hof": f"WITH {_GAPS} SELECT segment_name, coalesce(greatest(head_ms, inner_ms, tail_ms) >= 60000, false) AS large FROM q",
     "empty_segment_gap": """WITH e AS (SELECT event_type, epoch(ts)::BIGINT // 3600 AS hour, epoch_ms(ts) AS t_ms FROM (SELECT event_type, date_trunc('milliseconds', ts) AS ts FROM events)),

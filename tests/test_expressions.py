@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cuemill.operators.prompt import seconds
 from cuemill.functions import ident, media, text, timecode
 
 
@@ -84,5 +85,11 @@ def test_media(spark):
     assert [r[0] for r in n.select(media.split_reusable(F.col("a"), F.col("b"), F.col("n"), 100)).collect()] == [True, False, None]
     size = spark.createDataFrame([(20 << 20,), ((20 << 20) - 1,)], "s bigint")
     assert [tuple(r) for r in size.select(media.at_least_mib(F.col("s"), 20), media.at_least_mib(F.col("s"), 0)).collect()] == [(True, True), (False, True)]
-    same = fps.limit(1).select(media.same_stream(F.lit(1000), F.lit(1100), F.lit(1.0), F.lit(1.005), F.lit(100)), media.bits_per_second(F.lit(35)))
+    same = fps.limit(1).select(media.same_stream(F.lit(1000), F.lit(1099), F.lit(1.0), F.lit(1.005), F.lit(100)), media.bits_per_second(F.lit(35)))
     assert tuple(same.first()) == (True, 286720)
+
+
+def test_seconds_are_rounded_as_binary_numbers(spark):
+    ms = [*range(0, 3000, 50), 302_150, 299_950, 123_450, 60_049, 60_051, 10**9 + 350]
+    df = spark.createDataFrame([(x,) for x in ms], "x bigint")
+    assert [r[0] for r in df.select(seconds(F.col("x"))).collect()] == [f"{x / 1000:.1f}" for x in ms]

@@ -3,9 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from cuemill.backend import BatchBackend, ReplayBackend
-from cuemill.operators import gaps, policy, retain, search, segments, validate
+from cuemill.operators import gaps, policy, prefix, retain, search, segments, validate
 from cuemill.operators.prompt import scenes_json, verification_prompt
-from cuemill.operators.stitch import PLACEHOLDER, stitch
+from cuemill.operators.stitch import PLACEHOLDER, headed, stitch
 
 
 def fold(cues, duration, threshold):
@@ -113,3 +113,49 @@ def test_prompts_and_backends(spark):
             yield pa.RecordBatch.from_arrays([b.column(0), pc.utf8_upper(b.column(1))], ["request_id", "response"])
 
     assert sorted(map(tuple, BatchBackend(shout, 2).run(asked).collect())) == [("1", "P"), ("2", "Q")]
+
+
+def test_sums_before_go_over_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(prefix, "BLOCK", 16)
+    rows = [("hot" if i < 300 else rng.choice(["a", None]), i, rng.choice([None, rng.randrange(9)]), "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int, v int, _key string")
+    got = {(r.k, r.i): r.s for r in prefix.sums_before(df, "k", "i", {"s": "v"}).collect()}
+    assert got == {(k, i): sum(w or 0 for q, j, w, _ in rows if q == k and j < i) for k, i, _, _ in rows}
+    ranged = {r.i: r.s for r in prefix.running_before(df, ["i"], "v", "s").collect()}
+    assert ranged == {i: sum(w or 0 for _, j, w, _ in rows if j < i) for _, i, _, _ in rows}
+    assert prefix.sums_before(df.limit(0), "k", "i", {"s": "v"}).collect() == [] and prefix.running_before(df.limit(0), ["i"], "v", "s").collect() == []
+
+
+def test_results_of_a_query_and_its_cache(spark):
+    rows = [(10 + p, "q", p, f"t{p}", "u", "c", p) for p in range(1, 11)] + [(99, "q", 3, "later", "u", "c", 1), (12, "q", 2, "t2", "u", "c", 7), (30, "Q!", 1, None, "u", "c", 0), (31, "other", 1, "t", "u", "c" * 5000, 0), (32, None, 1, "t", "u", "c", 0), (33, "q", 11, "t", "u", "c", 0), (34, "q", None, "t", "u", "c", 0)]
+    df = spark.createDataFrame(rows, "result_id bigint, search_query string, pos int, title string, url string, content string, at int").selectExpr("*", "timestamp_ntz'2025-01-01 00:00:00' + make_interval(0, 0, 0, at) made_at", "1 results", "2 query_key")
+    lists = search.grouped(df)
+    got = {r.search_query: [x.title for x in r.results] for r in lists.collect()}
+    assert got == {"q": [f"t{p}" for p in range(1, 11)], "Q!": [], "other": []}
+    seen = {r.search_query: (r.query_key, r.sent, r.n_results) for r in search.through_cache(df, lists).collect()}
+    assert seen == {"q": ("q", False, 0), "Q!": ("q", True, 0), "other": ("other", True, 0)}
+    assert search.grouped(df.limit(0)).collect() == [] and search.through_cache(df.limit(0), lists).collect() == []
+
+
+def test_stored_responses_are_loaded_or_not(spark):
+    rows = [("good", 0, 0, 0, 5), ("good", 1, 0, 1, 9), ("early", 0, 0, 0, 10**6), ("early", 1, 0, 0, 5), ("late", 0, 0, 0, 5), ("late", 1, 0, 0, 10**6), ("order", 0, 2, 5, 5), ("order", 1, 0, 0, 5), ("bad", 0, 0, None, 5)]
+    df = spark.createDataFrame([(*r, 100, "x") for r in rows], "segment_name string, attempt int, pos int, start_ms bigint, end_ms bigint, duration_ms bigint, reason string")
+    got = {r.segment_name: (r.n_responses, r.reason) for r in validate.load_verdicts(df).collect()}
+    assert got == {"good": (2, None), "early": (2, None), "late": (2, "beyond"), "order": (2, "order"), "bad": (1, "unreadable")}
+    assert validate.load_verdicts(df.limit(0)).collect() == []
+
+
+def test_complete(spark):
+    cases = [(0, True, False, True, True), (1, False, False, True, True), (1, True, True, False, False), (2, True, True, False, False), (1, True, True, True, False), (1, True, True, False, True), (1, True, False, False, False)]
+    df = spark.createDataFrame(cases, "n int, loaded boolean, gap boolean, a boolean, b boolean")
+    args = [F.col(c) for c in ("n", "loaded", "gap", "a", "b")]
+    assert [r[0] for r in df.select(gaps.complete(*args)).collect()] == [False, False, False, True, True, True, True]
+    assert [r[0] for r in df.select(gaps.complete(*args, retries=0)).collect()] == [False, False, True, True, True, True, True]
+    assert [r[0] for r in df.select(gaps.complete(*args, ignore_start=False, ignore_end=False)).collect()] == [False, False, False, True, False, False, True]
+
+
+def test_the_header_stands_in_front(spark):
+    df = spark.createDataFrame([("m", 0, 0, 1, 1, 5, "x"), ("m", 0, 1, 2, 6, 7, None), (None, 0, 0, 1, 1, 2, "y")], "media_id string, seg_idx int, pos int, cue_no bigint, start_ms bigint, end_ms bigint, text string")
+    got = sorted(((r.media_id, r.cue_no, r.start_ms, r.end_ms, r.text) for r in headed(df, F.lit("{a}")).collect()), key=str)
+    assert got == sorted([("m", 0, 0, 1, "(a)"), ("m", 1, 1, 5, "x"), ("m", 2, 6, 7, None), (None, 0, 0, 1, "(a)"), (None, 1, 1, 2, "y")], key=str)
