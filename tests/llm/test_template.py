@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from cuemill.llm.template import Leaf, classify, residue
+from cuemill.llm.template import Leaf, classify, lines_of, masked, residue
+from pyspark.sql import functions as F
 
 BAD = {
     "slot": ["{{ artist }}", "{{body | safe}}", "${city}", "#{track}", "{% block x %}{% endblock %}", "{song.title}", "%(name)s", "at noon %repeat%", "%s / %s / TRACK", "<%= title %>", "<<lyrics>>", "<track goes here>", "we sing <line_2>", "__city__", "@@name", "@@body | safe@@", "[[title]]", "[insert name]", "[word?]", "<!-- LYRICS placeholder -->", "[object Object] X", "INSERT LYRICS HERE", "xxx SONG.TITLE xxx", "TBD (TRACK)", "TODO: add CONTENT", "Lyrics for undefined by undefined"],
@@ -42,6 +43,13 @@ def test_cases_alone_and_amid_lyrics(spark):
     assert {k: (v, got[k]) for k, v in want.items() if not set(v) <= set(got[k])} == {}
 
 
+def test_lines_and_masks(spark):
+    text = "　 a\u00a0 b\t12 \r\n\\n\u2003x.example  0a1b2c3d4 \x85\n \u3000\n"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(lines_of(F.col("t")).alias("l"))
+    assert [r.l for r in df.collect()] == [["a\u00a0 b\t12", "x.example  0a1b2c3d4"], None, []]
+    assert [r[0] for r in df.select(F.explode("l").alias("x")).select(masked(F.col("x"))).collect()] == ["a b <n>", "<host> <hex>"]
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
 
