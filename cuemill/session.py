@@ -50,9 +50,11 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     path = sc._jvm.org.apache.hadoop.fs.Path(target)  # the shared folder may be of any file system
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path)
     out.write(packed.getvalue())
     out.close()
+    fs.deleteOnExit(path)
     sc.addPyFile(target)
 
 
