@@ -48,17 +48,6 @@ def window_hashes(symbols: np.ndarray, widths: list[int]) -> dict[int, np.ndarra
     return out
 
 
-def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
-    """Least value of each window of ``width`` values, by doubling."""
-    if len(h) < width:
-        return h[:0]
-    m, s = h, 1
-    while s * 2 <= width:
-        m = np.minimum(m[:-s], m[s:])
-        s *= 2
-    return np.minimum(m[: len(m) - (width - s)], m[width - s :]) if s < width else m
-
-
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + lengths[i] - 1`` for all i in a row."""
     total = int(lengths.sum())
