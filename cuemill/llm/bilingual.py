@@ -13,6 +13,10 @@ Method, over whole corpora:
 
 The lexicon is counted before it is sent anywhere. Up to ``SMALL`` entries go to all tasks; a larger one stays a table, is
 joined to the pairs by word pair in each round, and to the texts by word in the end. Nothing is left out of it either way.
+
+No size changes a row. Counts are whole numbers of ``UNIT`` parts and probabilities whole numbers of ``GRAIN`` parts, so their sums are
+exact in any order, whichever way the lexicon goes. A text of more than ``PIECE`` clauses is aligned as a whole too: only
+its likenesses are worked out a square at a time, and rows of the dynamic programming are worked out again for the way back.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from math import isqrt
 from itertools import chain
 
 import numpy as np
@@ -34,7 +39,9 @@ from .codepoints import ragged
 #: Entries of a lexicon that is sent to all tasks (20 bytes each).
 SMALL = 2_000_000
 ROUNDS = 4
-#: Clauses of a text on either side that are aligned at once.
+#: Parts of a count and of a probability.
+UNIT, GRAIN = 1 << 24, 1 << 30
+#: Clauses of a text on either side whose likenesses are worked out at once.
 PIECE = 1_500
 
 _WORD = re.compile(r"[^\W_]+")
@@ -207,39 +214,56 @@ def _interned(sets: list[frozenset], seen: dict) -> np.ndarray:
     return np.array([seen.setdefault(x, len(seen) + 1) if x else 0 for x in sets], np.int64)
 
 
-def by_length(o: list[Clause], e: list[Clause]) -> list[tuple[int, int]]:
-    """Confident one-to-one pairs: dynamic programming over lengths, numbers weighing in."""
+def _blocks(n: int, m: int, piece: int) -> list[tuple[int, int]]:
+    """Rows of a dynamic programming that are held at once: few of them, or few blocks of them."""
+    size = max(piece * piece // (m + 1), isqrt(n), 2)
+    return [(a, min(a + size, n)) for a in range(0, n, size)]
+
+
+def by_length(o: list[Clause], e: list[Clause], piece: int = PIECE) -> list[tuple[int, int]]:
+    """Confident one-to-one pairs: dynamic programming over lengths, numbers weighing in. Of more than ``piece`` squared cells, only
+    the row before each block of rows is kept, and the blocks are worked out again from the last to the first."""
     n, m = len(o), len(e)
     if not n or not m:
         return []
     lo, le = np.array([x.size for x in o], float), np.array([x.size for x in e], float)
     ratio = le.sum() / lo.sum()
-    gain = 1.0 - 1.5 * np.abs(np.log((le[None, :] + 4) / (lo[:, None] * ratio + 4)))
     seen: dict = {}
     no, ne = _interned([x.numbers for x in o], seen), _interned([x.numbers for x in e], seen)
-    gain += np.where((no[:, None] > 0) | (ne[None, :] > 0), np.where(no[:, None] == ne[None, :], 1.5, -2.0), 0.0)
-    best = np.zeros((n + 1, m + 1))
-    for i in range(n):
-        row = np.maximum(best[i, 1:], best[i, :-1] + gain[i] - 0.3)
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(row, 0))
-    up = best[1:] == best[:-1]
-    left = best[:, 1:] == best[:, :-1]
+
+    def rows(a, b, before):
+        gain = 1.0 - 1.5 * np.abs(np.log((le[None, :] + 4) / (lo[a:b, None] * ratio + 4)))
+        gain += np.where((no[a:b, None] > 0) | (ne[None, :] > 0), np.where(no[a:b, None] == ne[None, :], 1.5, -2.0), 0.0)
+        best = np.zeros((b - a + 1, m + 1))
+        best[0] = before
+        for i in range(b - a):
+            row = np.maximum(best[i, 1:], best[i, :-1] + gain[i] - 0.3)
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(row, 0))
+        return gain, best
+
+    blocks, before = _blocks(n, m, piece), [np.zeros(m + 1)]
+    for a, b in blocks[:-1]:
+        before.append(rows(a, b, before[-1])[1][-1].copy())
     i, j, path = n, m, []
-    while i and j:
-        if up[i - 1, j]:
-            i -= 1
-        elif left[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            path.append((i, j))
+    for a, b in reversed(blocks):
+        gain, best = rows(a, b, before.pop())
+        up = best[1:] == best[:-1]
+        left = best[:, 1:] == best[:, :-1]
+        while i > a and j:
+            if up[i - a - 1, j]:
+                i -= 1
+            elif left[i - a, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                path.append((i, j, gain[i - a, j]))
     path.reverse()
-    have = set(path)
+    have = {(i, j) for i, j, _ in path}
     sure = []
-    for i, j in path:
+    for i, j, g in path:
         anchored = no[i] > 0 and no[i] == ne[j]
         calm = (i - 1, j - 1) in have and (i + 1, j + 1) in have
-        if gain[i, j] > 0.2 and (anchored or calm):
+        if g > 0.2 and (anchored or calm):
             sure.append((i, j))
     return sure
 
@@ -274,19 +298,23 @@ def _expect(sent):
                 key, group, p = key[held], group[held], lex[1][at[held]]
             else:
                 p = np.ones(len(key))
-            p = p / np.bincount(group, p, len(word))[group] * weight[pair[group]]
-            uniq, inv = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(np.bincount(inv, p, len(uniq)))], ["key", "c"])
+            c = np.rint(weight[pair[group]] * p / np.bincount(group, p, len(word))[group] * UNIT).astype(np.int64)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.add.reduceat(c[order], first) if len(key) else c)], ["key", "c"])
 
     return run
 
 
 def _expect_by_join(pairs: DataFrame, lex: DataFrame) -> DataFrame:
-    """The same with a lexicon of any size: word pairs of the lines joined to it by key."""
-    words = pairs.select(F.xxhash64("f", "e").alias("pair"), "n", F.explode("f").alias("f"), "e").select("pair", "n", "f", F.explode("e").alias("e"))
+    """The same with a lexicon of any size: word pairs of the lines joined to it by key, then each word of a line's translation
+    with what explains it there."""
+    words = pairs.select("pair", "n", F.explode("f").alias("f"), "e").select("pair", "n", "f", F.explode("e").alias("e"))
     held = words.withColumn("key", F.shiftleft("f", 32).bitwiseOR(F.col("e"))).join(lex.select("key", "t"), "key")
-    total = held.groupBy("pair", "e").agg(F.sum("t").alias("total"))
-    return held.join(total, ["pair", "e"]).select("key", (F.col("n") * F.col("t") / F.col("total")).alias("c"))
+    word = held.groupBy("pair", "e").agg(F.first("n").alias("n"), F.sum("t").alias("total"), F.collect_list(F.struct("key", "t")).alias("x"))
+    each = word.select("n", "total", F.explode("x").alias("x"))
+    return each.select("x.key", F.rint(F.col("n") * F.col("x.t") / F.col("total") * F.lit(float(UNIT))).cast("bigint").alias("c"))
 
 
 def _sendable(lex: DataFrame, small: int):
@@ -300,19 +328,21 @@ def _sendable(lex: DataFrame, small: int):
 
 
 def train(pairs: DataFrame, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
-    """``key, t, c``: t(e | f) and expected count by pair of words, f in the key's high half. ``pairs``: ``f array<bigint>,
-    e array<bigint>, n``. Entries of t up to 0.002 or a count up to 0.05 are noise and fall out in each round."""
+    """``key, t, c``: t(e | f) and expected count, in parts, by pair of words, f in the key's high half. ``pairs``: ``f array<bigint>,
+    e array<bigint>, n`` and a number ``pair`` of each row that stays the same when it is read again. Entries of t up to 0.002
+    or a count up to 0.05 are noise and fall out in each round."""
     lex = None
     for _ in range(rounds):
         arrays = _sendable(lex, small) if lex is not None else None
         if lex is None or arrays is not None:
             sent = pairs.sparkSession.sparkContext.broadcast(arrays[:2]) if arrays is not None else None
-            counts = pairs.mapInArrow(_expect(sent), "key bigint, c double")
+            counts = pairs.select("f", "e", "n").mapInArrow(_expect(sent), "key bigint, c bigint")
         else:
             counts = _expect_by_join(pairs, lex)
         counts = counts.groupBy("key").agg(F.sum("c").alias("c")).withColumn("f", F.shiftrightunsigned("key", 32))
         total = counts.groupBy("f").agg(F.sum("c").alias("total"))
-        lex = materialise(counts.join(total, "f").select("key", (F.col("c") / F.col("total")).alias("t"), "c").where("t > 0.002 and c > 0.05"), "lexicon")
+        t = F.rint(F.col("c") / F.col("total") * F.lit(float(GRAIN))) / F.lit(float(GRAIN))
+        lex = materialise(counts.join(total, "f").select("key", t.alias("t"), "c").where((F.col("t") > F.lit(0.002)) & (F.col("c") > F.lit(0.05 * UNIT))), "lexicon")
     return lex
 
 
@@ -325,7 +355,8 @@ class Originals:
         order = np.lexsort((-c, e))
         f, e, t, c = f[order], e[order], t[order], c[order]
         words, inv = np.unique(e, return_inverse=True)
-        ok = (c >= 0.01 * np.bincount(inv, c, len(words))[inv]) & (t >= 0.02)
+        total = np.add.reduceat(c, np.searchsorted(e, words)) if len(c) else c
+        ok = (c >= 0.01 * total[inv]) & (t >= 0.02)
         self.f, e = f[ok], e[ok]
         self.e, self.start = np.unique(e, return_index=True)
         self.size = np.diff(np.append(self.start, len(e)))
@@ -345,7 +376,7 @@ def _originals_by_join(texts: DataFrame, lex: DataFrame) -> DataFrame:
     are pairs of its own words."""
     share = lex.withColumns({"f": F.shiftrightunsigned("key", 32), "e": F.col("key").bitwiseAND(F.lit(int(_LOW)))})
     total = share.groupBy("e").agg(F.sum("c").alias("total"))
-    useful = share.join(total, "e").where("c >= 0.01 * total and t >= 0.02").select("e", "f")
+    useful = share.join(total, "e").where((F.col("c") >= F.lit(0.01) * F.col("total")) & (F.col("t") >= F.lit(0.02))).select("e", "f")
 
     def words(batches):
         reader = Reader(_SOFT_JOIN)
@@ -384,7 +415,7 @@ class _Side:
     """Words of one side of a batch of texts: of each occurrence its clause and weight, and the distinct words of each text."""
 
     def __init__(self, texts: list[list[Clause]], words: Words, weigh):
-        every = [c for t in texts for c in t]
+        self.every = every = [c for t in texts for c in t]
         self.n = np.array([len(t) for t in texts], np.int64)
         self.first = np.cumsum(self.n) - self.n
         sizes = np.array([len(c.at()) for c in every], np.int64)
@@ -418,8 +449,8 @@ class Aligner:
     """Aligns texts with their translations, many at once: all that concerns single words, cells or rows of the dynamic
     programming is done for a whole batch of texts in numpy."""
 
-    def __init__(self, weights: dict[int, float], originals: Originals | None = None):
-        self.originals, self.reader = originals, Reader(_SOFT_JOIN)
+    def __init__(self, weights: dict[int, float], originals: Originals | None = None, piece: int = PIECE):
+        self.originals, self.reader, self.piece = originals, Reader(_SOFT_JOIN), piece
         self.w_id = np.array(sorted(weights), np.int64)
         self.w = np.array([weights[x] for x in sorted(weights)], float)
 
@@ -440,11 +471,11 @@ class Aligner:
         for k, (og, en) in enumerate(texts):
             lines_o, co = self.reader.read(og)
             lines_e, ce = self.reader.read(en)
-            parts = max(-(-len(co) // PIECE), -(-len(ce) // PIECE)) if co and ce else 0
-            for o, e in zip(_pieces(co, parts), _pieces(ce, parts)):
-                if o and e:
-                    work.append((k, o, e, lines_o, lines_e))
-                    cells += len(o) * len(e)
+            if co and ce and max(len(co), len(ce)) > self.piece:
+                self._long((k, co, ce, lines_o, lines_e), given, out)
+            elif co and ce:
+                work.append((k, co, ce, lines_o, lines_e))
+                cells += len(co) * len(ce)
             if cells > 300_000:
                 self._some(work, given, out)
                 work, cells = [], 0
@@ -452,10 +483,9 @@ class Aligner:
             self._some(work, given, out)
         return out
 
-    def _some(self, work, given, out):
-        for _, c in chain.from_iterable(x[1] + x[2] for x in work):
-            c.at()
-        o, e = (_Side([[c for _, c in x[side]] for x in work], self.words, self._weigh) for side in (1, 2))
+    def _cells(self, o: _Side, e: _Side, given: list | None) -> tuple[np.ndarray, ...]:
+        """Where the cells of each text begin, and of each cell the weight of what clause i explains in clause j and of what of clause i
+        is said in clause j, their shares of the clauses, the likeness, and whether numbers contradict each other."""
         base = np.cumsum(o.n * e.n) - o.n * e.n
         cell = lambda i, j: base[o.text_of[i]] + (i - o.first[o.text_of[i]]) * e.n[o.text_of[i]] + j - e.first[e.text_of[j]]
         total = int((o.n * e.n).sum())
@@ -465,7 +495,7 @@ class Aligner:
             at, f = self.originals.of(e.id[plain])
             word_e, want = plain[at], e.base[plain[at]] | f
         else:
-            pieces = [(k << 32 | np.asarray(given[x[0]][0], np.int64), k << 32 | np.asarray(given[x[0]][1], np.int64)) for k, x in enumerate(work) if given[x[0]] is not None]
+            pieces = [(k << 32 | np.asarray(x[0], np.int64), k << 32 | np.asarray(x[1], np.int64)) for k, x in enumerate(given) if x is not None]
             said, want = (np.concatenate([p[i] for p in pieces]) if pieces else np.zeros(0, np.int64) for i in (0, 1))
             at, word_e = _lookup(e.key, said)
             at, word_e = at[~e.digit[word_e]], word_e[~e.digit[word_e]]
@@ -489,11 +519,17 @@ class Aligner:
         row = np.repeat(np.arange(len(o.sum)), e.n[o.text_of])
         col = ragged(e.first[o.text_of], e.n[o.text_of])
         seen: dict = {}
-        no = _interned([c.numbers for x in work for _, c in x[1]], seen)[row]
-        ne = _interned([c.numbers for x in work for _, c in x[2]], seen)[col]
+        no = _interned([c.numbers for c in o.every], seen)[row]
+        ne = _interned([c.numbers for c in e.every], seen)[col]
         clash = (no > 0) & (ne > 0) & (no != ne)
         cov_e, cov_o = said_e / np.maximum(e.sum[col], 1e-9), back / np.maximum(o.sum[row], 1e-9)
-        full = 0.5 * (cov_e + cov_o) - 0.6 * clash
+        return base, said_e, back, cov_e, cov_o, 0.5 * (cov_e + cov_o) - 0.6 * clash, clash
+
+    def _some(self, work, given, out):
+        for _, c in chain.from_iterable(x[1] + x[2] for x in work):
+            c.at()
+        o, e = (_Side([[c for _, c in x[side]] for x in work], self.words, self._weigh) for side in (1, 2))
+        base, said_e, back, cov_e, cov_o, full, clash = self._cells(o, e, given and [given[x[0]] for x in work])
         order = np.lexsort((o.n, e.n))
         for a in range(0, len(order), 48):
             some = order[a : a + 48]
@@ -501,24 +537,49 @@ class Aligner:
             for k, pairs in zip(some.tolist(), paths):
                 n, m = int(o.n[k]), int(e.n[k])
                 cut = lambda x: x[base[k] : base[k] + n * m].reshape(n, m)  # noqa: B023, E731
-                found = self._rest(pairs, *map(cut, (cov_e, cov_o, full, clash)), o.sum[o.first[k] : o.first[k] + n], e.sum[e.first[k] : e.first[k] + m])
-                t, co, ce, lines_o, lines_e = work[k]
-                if min(n, m) >= 4 and len({i for i, _ in found}) < 0.35 * min(n, m):
-                    continue  # a few likenesses, but no translation of this text
-                found = _whole(co, ce, _recur(co, ce, found), lines_o, lines_e)
-                out[t].update((co[i][0], ce[j][0]) for i, j in found)
+                self._finish(work[k], pairs, _Dense(*map(cut, (cov_e, cov_o, full, clash))), o.sum[o.first[k] : o.first[k] + n], e.sum[e.first[k] : e.first[k] + m], out)
+
+    def _long(self, one, given, out):
+        """The same rows for one text of any number of clauses, without all its cells at once."""
+        k, co, ce, _, _ = one
+        sides, weights, of = [], [], []
+        for cs in (co, ce):
+            kinds: dict = {}
+            of.append(np.array([kinds.setdefault((c.at(), c.numbers), (len(kinds), c))[0] for _, c in cs], np.int64))
+            every = [c for _, c in kinds.values()]
+            sides.append([_Side([every[a : a + self.piece]], self.words, self._weigh) for a in range(0, len(every), self.piece)])
+            weights.append(np.concatenate([x.sum for x in sides[-1]])[of[-1]])
+        kept, given = [], given and [given[k]]
+        for a, o in enumerate(sides[0]):
+            for b, e in enumerate(sides[1]):
+                cells = self._cells(o, e, given)[1:]
+                at = np.flatnonzero(np.maximum(cells[2], cells[3]) > 0.56)
+                i, j = np.divmod(at, len(e.sum))
+                kept.append((a * self.piece + i, b * self.piece + j, *(x[at] for x in cells)))
+        cells = _Sparse(*of, *map(np.concatenate, zip(*kept)))
+        self._finish(one, _path(cells, *weights, self.piece), cells, *weights, out)
+
+    def _finish(self, one, pairs, cells, wo, we, out):
+        t, co, ce, lines_o, lines_e = one
+        found = self._rest(pairs, cells, wo, we)
+        n, m = len(co), len(ce)
+        if min(n, m) >= 4 and len({i for i, _ in found}) < 0.35 * min(n, m):
+            return  # a few likenesses, but no translation of this text
+        found = _whole(co, ce, _recur(co, ce, found), lines_o, lines_e)
+        out[t].update((co[i][0], ce[j][0]) for i, j in found)
 
     @staticmethod
-    def _rest(pairs, cov_e, cov_o, full, clash, wo, we):
+    def _rest(pairs, cells, wo, we):
         """What the path leaves over: moved clauses, and parts of divided ones."""
-        n, m = full.shape
+        n, m = len(wo), len(we)
         used_o, used_e = np.zeros(n, bool), np.zeros(m, bool)
         if pairs:
             x, y = np.array(pairs).T
             used_o[x] = used_e[y] = True
         # moved clauses: best score first, both still free
-        free = np.argwhere((full >= 0.6) & ~used_o[:, None] & ~used_e[None, :])
-        for i, j in free[np.argsort(-full[free[:, 0], free[:, 1]], kind="stable")].tolist() if len(free) else ():
+        x, y, full = cells.alike(~used_o, ~used_e)
+        for k in np.argsort(-full, kind="stable").tolist():
+            i, j = int(x[k]), int(y[k])
             if not used_o[i] and not used_e[j]:
                 pairs.append((i, j))
                 used_o[i] = used_e[j] = True
@@ -526,35 +587,187 @@ class Aligner:
         lack_o, lack_e = np.ones(n), np.ones(m)
         if pairs:
             x, y = np.array(pairs).T
-            np.subtract.at(lack_o, x, cov_o[x, y]), np.subtract.at(lack_e, y, cov_e[x, y])
+            cov_e, cov_o = cells.shares(x, y)
+            np.subtract.at(lack_o, x, cov_o), np.subtract.at(lack_e, y, cov_e)
         for j in np.flatnonzero(~used_e & (we >= 2.0)).tolist():
-            c, d = cov_e[:, j], cov_o[:, j]
-            ok = np.flatnonzero((c >= 0.7) & (lack_o >= 0.6 * d) & (d >= 0.2) & ~clash[:, j])
+            i, c, d, clash = cells.column(j)
+            ok = np.flatnonzero((c >= 0.7) & (lack_o[i] >= 0.6 * d) & (d >= 0.2) & ~clash)
             if len(ok):
-                v = c[ok] + 0.3 * np.minimum(lack_o[ok], d[ok]) - 0.01 * np.abs(ok / n - j / m)
-                i = int(ok[np.flatnonzero(v == v.max())[-1]])
+                v = c[ok] + 0.3 * np.minimum(lack_o[i[ok]], d[ok]) - 0.01 * np.abs(i[ok] / n - j / m)
+                best = ok[np.flatnonzero(v == v.max())[-1]]
+                i, d = int(i[best]), d[best]
                 pairs.append((i, j))
                 used_o[i] = used_e[j] = True
-                lack_o[i] -= cov_o[i, j]
+                lack_o[i] -= d
         for i in np.flatnonzero(~used_o & (wo >= 2.0)).tolist():
-            c, d = cov_o[i], cov_e[i]
-            ok = np.flatnonzero((c >= 0.7) & (lack_e >= 0.6 * d) & (d >= 0.2) & ~clash[i])
+            j, d, c, clash = cells.line(i)
+            ok = np.flatnonzero((c >= 0.7) & (lack_e[j] >= 0.6 * d) & (d >= 0.2) & ~clash)
             if len(ok):
-                v = c[ok] + 0.3 * np.minimum(lack_e[ok], d[ok]) - 0.01 * np.abs(i / n - ok / m)
-                j = int(ok[np.flatnonzero(v == v.max())[-1]])
+                v = c[ok] + 0.3 * np.minimum(lack_e[j[ok]], d[ok]) - 0.01 * np.abs(i / n - j[ok] / m)
+                best = ok[np.flatnonzero(v == v.max())[-1]]
+                j, d = int(j[best]), d[best]
                 pairs.append((i, j))
-                lack_e[j] -= cov_e[i, j]
+                lack_e[j] -= d
         return pairs
 
 
-def _pieces(cs: list, parts: int) -> list[list]:
-    """A text of very many clauses in pieces of equal length in characters, so that those of both sides face each other."""
-    if parts <= 1:
-        return [cs] * parts
-    size = np.array([c.size + 1 for _, c in cs])
-    begins = np.cumsum(size) - size
-    cut = np.searchsorted(begins, size.sum() * np.arange(1, parts) / parts)
-    return [cs[a:b] for a, b in zip([0, *cut], [*cut, len(cs)])]
+class _Dense:
+    """Cells of a text, all of them."""
+
+    def __init__(self, cov_e, cov_o, full, clash):
+        self.cov_e, self.cov_o, self.full, self.clash = cov_e, cov_o, full, clash
+        self.i, self.j = map(np.arange, full.shape)
+
+    def line(self, i):
+        return self.j, self.cov_e[i], self.cov_o[i], self.clash[i]
+
+    def column(self, j):
+        return self.i, self.cov_e[:, j], self.cov_o[:, j], self.clash[:, j]
+
+    def shares(self, x, y):
+        return self.cov_e[x, y], self.cov_o[x, y]
+
+    def alike(self, free_o, free_e):
+        """Cells of a likeness of 0.6 or more, line by line."""
+        x, y = np.nonzero((self.full >= 0.6) & free_o[:, None] & free_e[None, :])
+        return x, y, self.full[x, y]
+
+
+class _Places:
+    """Where the clauses of each kind stand."""
+
+    def __init__(self, of: np.ndarray):
+        self.of, self.at = of, np.argsort(of, kind="stable")
+        self.size = np.bincount(of)
+        self.first = np.cumsum(self.size) - self.size
+
+    def spread(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, index into ``kinds``) of all clauses of these kinds, in order of place."""
+        n = self.size[kinds]
+        place, index = self.at[ragged(self.first[kinds], n)], np.repeat(np.arange(len(kinds)), n)
+        order = np.argsort(place)
+        return place[order], index[order]
+
+
+class _Sparse:
+    """Cells of a text by kinds of clauses, equal ones being of a kind: those where either share is over 0.56. No other cell can be in a
+    bead (likeness over 0.57, or both parts covered to over 0.6), be moved (0.6) or divided (0.7)."""
+
+    def __init__(self, of_o, of_e, i, j, said_e, back, cov_e, cov_o, full, clash):
+        self.o, self.e = _Places(of_o), _Places(of_e)
+        order = np.lexsort((j, i))
+        self.i, self.j, self.said_e, self.back, self.cov_e, self.cov_o, self.full, self.clash = (x[order] for x in (i, j, said_e, back, cov_e, cov_o, full, clash))
+        self.key = self.i * len(self.e.size) + self.j
+        self.of_line = np.searchsorted(self.i, np.arange(len(self.o.size) + 1))
+        self.down = np.lexsort((self.i, self.j))
+        self.of_column = np.searchsorted(self.j[self.down], np.arange(len(self.e.size) + 1))
+
+    def entries(self, i, which=None):
+        """Clauses of the translation that line i has cells with, in order, and those cells."""
+        k = self.o.of[i]
+        at = np.arange(self.of_line[k], self.of_line[k + 1])
+        at = at[which[at]] if which is not None else at
+        place, index = self.e.spread(self.j[at])
+        return place, at[index]
+
+    def line(self, i):
+        j, at = self.entries(i)
+        return j, self.cov_e[at], self.cov_o[at], self.clash[at]
+
+    def column(self, j):
+        k = self.e.of[j]
+        at = self.down[self.of_column[k] : self.of_column[k + 1]]
+        i, index = self.o.spread(self.i[at])
+        at = at[index]
+        return i, self.cov_e[at], self.cov_o[at], self.clash[at]
+
+    def shares(self, x, y):
+        at = np.searchsorted(self.key, self.o.of[x] * len(self.e.size) + self.e.of[y])
+        return self.cov_e[at], self.cov_o[at]
+
+    def alike(self, free_o, free_e):
+        which = (self.full >= 0.6) & (np.bincount(self.e.of, free_e) > 0)[self.j]
+        x, y, full = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in np.flatnonzero(free_o).tolist():
+            j, at = self.entries(i, which)
+            free = free_e[j]
+            x.append(np.full(int(free.sum()), i)), y.append(j[free]), full.append(self.full[at[free]])
+        return tuple(map(np.concatenate, (x, y, full)))
+
+
+def _path(cells: _Sparse, wo: np.ndarray, we: np.ndarray, piece: int) -> list[tuple[int, int]]:
+    """``_paths`` for one text of any length, from the cells that can count. Of the rows, the two before each block are kept, and the
+    blocks are worked out again, with their steps, from the last to the first."""
+    n, m = len(wo), len(we)
+
+    def row(i, older, old):
+        """Row i + 1 from rows i - 1 and i, and its steps; None if all of them are omissions of clause i."""
+        j, at = cells.entries(i)
+        v, s = old[1:].copy(), np.ones(m, np.int8)
+        one = cells.full[at] - 0.55
+        k = j[one > 0.02]
+        new = old[k] + one[one > 0.02]
+        up = new > v[k]
+        v[k[up]], s[k[up]] = new[up], 3
+        # clause i against j and j + 1 together
+        k = np.flatnonzero(j[1:] == j[:-1] + 1)
+        a, b, k = at[k], at[k + 1], j[k]
+        ok = (np.minimum(cells.cov_e[a], cells.cov_e[b]) > 0.6) & (np.maximum(cells.cov_o[a], cells.cov_o[b]) < 0.8)
+        a, b, k = a[ok], b[ok], k[ok]
+        wide = 0.5 * ((cells.said_e[a] + cells.said_e[b]) / np.maximum(we[k] + we[k + 1], 1e-9) + np.minimum(1.0, cells.cov_o[a] + cells.cov_o[b]))
+        wide -= 0.6 * (cells.clash[a] | cells.clash[b]) + 0.45
+        new = old[k] + wide
+        up = new > v[k + 1] + 0.05
+        v[k[up] + 1], s[k[up] + 1] = new[up], 4
+        if i:  # and i - 1 and i together against j
+            before, at_before = cells.entries(i - 1)
+            k, a, b = np.intersect1d(before, j, assume_unique=True, return_indices=True)
+            a, b = at_before[a], at[b]
+            ok = (np.minimum(cells.cov_o[a], cells.cov_o[b]) > 0.6) & (np.maximum(cells.cov_e[a], cells.cov_e[b]) < 0.8)
+            a, b, k = a[ok], b[ok], k[ok]
+            tall = 0.5 * (np.minimum(1.0, cells.cov_e[a] + cells.cov_e[b]) + (cells.back[a] + cells.back[b]) / np.maximum(wo[i - 1] + wo[i], 1e-9))
+            tall -= 0.6 * (cells.clash[a] | cells.clash[b]) + 0.45
+            new = older[k] + tall
+            up = new > v[k] + 0.05
+            v[k[up]], s[k[up]] = new[up], 5
+        if not (s > 1).any():
+            return old, None
+        top = np.maximum.accumulate(v)
+        s[1:][top[:-1] > v[1:]] = 2
+        return np.concatenate([[0.0], top]), s
+
+    blocks = _blocks(n, m, piece)
+    older = old = np.zeros(m + 1)
+    before = []
+    for a, b in blocks:
+        before.append((older, old))
+        for i in range(a, b) if b < n else ():
+            older, old = old, row(i, older, old)[0]
+    i, j, pairs = n, m, []
+    for a, b in reversed(blocks):
+        older, old = before.pop()
+        steps = []
+        for r in range(a, b):
+            new, s = row(r, older, old)
+            older, old = old, new
+            steps.append(s)
+        while i > a and j:
+            s = steps[i - a - 1]
+            s = 1 if s is None else s[j - 1]
+            if s == 1:
+                i -= 1
+            elif s == 2:
+                j -= 1
+            elif s == 3:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif s == 4:
+                i, j = i - 1, j - 2
+                pairs += [(i, j + 1), (i, j)]
+            else:
+                i, j = i - 2, j - 1
+                pairs += [(i + 1, j), (i, j)]
+    return pairs
 
 
 def _padded(flat: np.ndarray, some: np.ndarray, base: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -665,7 +878,9 @@ def _recur(co, ce, pairs):
         for u in units:
             for k, j in enumerate(u):
                 for free in same[ce[j][1].at()]:
-                    if free < j and free not in taken:
+                    if free >= j:
+                        break
+                    if free not in taken:
                         taken.discard(j), taken.add(free)
                         u[k] = free
                         break
@@ -682,14 +897,15 @@ def _pair_batch(fs, es, texts):
     return pa.RecordBatch.from_arrays([pa.array(fs, pa.list_(pa.int64())), pa.array(es, pa.list_(pa.int64())), pa.array(texts, pa.int64())], ["f", "e", "text"])
 
 
-def aligned_lines(df: DataFrame, record_id: str, original: str, translation: str, glossary: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+def aligned_lines(df: DataFrame, record_id: str, original: str, translation: str, glossary: DataFrame | None = None, small: int = SMALL, piece: int = PIECE) -> DataFrame:
     """``record_id, og_line, en_line``: pairs of lines where the translation's line, or a part of it, translates the
     original's line or a part of it. Lines count from 0 over those that aren't blank.
 
     A record with a null, empty or blank text on either side gives no rows; so does a translation of something else. A
     last line of which under a third is left pairs with nothing. Rows delivered again count once; rows with a null
     id are left out. ``glossary``: ``og_term, en_term``, may hold nulls and repetitions. ``small``: entries up to which the
-    lexicon is sent to all tasks; beyond, it is joined. Texts of more than ``PIECE`` clauses are aligned piece by piece.
+    lexicon is sent to all tasks; beyond, it is joined. ``piece``: clauses of a text whose likenesses are worked out at once.
+    Neither changes a row.
     """
     spark = df.sparkSession
     texts = df.select(df[record_id].cast("bigint").alias("record_id"), df[original].cast("string").alias("og"), df[translation].cast("string").alias("en"))
@@ -701,14 +917,11 @@ def aligned_lines(df: DataFrame, record_id: str, original: str, translation: str
             reader.refresh()
             fs, es, ts = [], [], []
             for og, en, text in zip(*(b.column(c).to_pylist() for c in ("og", "en", "text"))):
-                co, ce = reader.read(og)[1], reader.read(en)[1]
-                parts = max(-(-len(co) // PIECE), -(-len(ce) // PIECE)) if co and ce else 0
-                for o, e in zip(_pieces(co, parts), _pieces(ce, parts)):
-                    o, e = [c for _, c in o], [c for _, c in e]
-                    for i, j in by_length(o, e):
-                        f, t = o[i].words(), e[j].words()
-                        if f and t:
-                            fs.append(f), es.append(t), ts.append(text)
+                o, e = ([c for _, c in reader.read(x)[1]] for x in (og, en))
+                for i, j in by_length(o, e, piece):
+                    f, t = o[i].words(), e[j].words()
+                    if f and t:
+                        fs.append(f), es.append(t), ts.append(text)
             if fs:
                 yield _pair_batch(fs, es, ts)
 
@@ -726,7 +939,7 @@ def aligned_lines(df: DataFrame, record_id: str, original: str, translation: str
 
         pairs = pairs.unionByName(glossary.select("og_term", "en_term").distinct().mapInArrow(terms, _PAIRS))
     lines = pairs.groupBy("f", "e", "text").agg(F.count("*").alias("twice"))
-    pairs = materialise(lines.groupBy("f", "e").agg(F.count("*").cast("double").alias("n")), "pairs")
+    pairs = materialise(lines.groupBy("f", "e").agg(F.count("*").cast("double").alias("n")).withColumn("pair", F.monotonically_increasing_id()), "pairs")
     lex = train(pairs, small=small)
     # weight of a token: the rarer, the more it says; common ones that aren't in the table weigh least
     seen = pairs.select(F.explode(F.concat("f", "e")).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"))
@@ -739,7 +952,7 @@ def aligned_lines(df: DataFrame, record_id: str, original: str, translation: str
     sent = spark.sparkContext.broadcast((weights, Originals(*arrays) if arrays is not None else None))
 
     def pair_up(batches):
-        aligner = Aligner(*sent.value)
+        aligner = Aligner(*sent.value, piece=piece)
         for b in batches:
             ids, *both = (b.column(c).to_pylist() for c in ("record_id", "og", "en"))
             given = None if aligner.originals else [(e, f) if e else None for e, f in zip(*(b.column(c).to_pylist() for c in ("e", "f")))]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cuemill.llm.bilingual import Originals, aligned_lines, clauses, lines_of, romanise, skeleton, tokens
+from cuemill.llm.bilingual import Originals, aligned_lines, clauses, lines_of, romanise, skeleton, tokens, train
 
 RNG = random.Random(21)
 N = 140
@@ -124,3 +124,30 @@ def test_all_originals_of_a_word_are_kept():
     keys = (np.arange(60, dtype=np.int64) << 32) | 7
     of = Originals(keys, np.full(60, 0.5), np.full(60, 3.0)).of(np.array([3, 7]))
     assert sorted(of[1]) == list(range(60)) and set(of[0]) == {1}
+
+
+def test_the_way_a_lexicon_goes_changes_no_bit_of_it(spark):
+    rng = random.Random(3)
+    cuts = set()
+    for _ in range(400):  # among them the same words cut at different places into the two sides
+        words = sorted(rng.sample(range(9), rng.randint(2, 6)))
+        k = rng.randint(1, len(words) - 1)
+        cuts.add((tuple(words[:k]), tuple(words[k:])))
+    pairs = spark.createDataFrame([(list(f), list(e), float(rng.randint(1, 3)), i) for i, (f, e) in enumerate(sorted(cuts))], "f array<bigint>, e array<bigint>, n double, pair bigint")
+    sent, joined = ({r[0]: tuple(r)[1:] for r in train(x, small=k).collect()} for x, k in ((pairs, 1000), (pairs.repartition(3), 0)))
+    assert len(sent) > 20 and sent == joined
+
+
+@pytest.mark.parametrize("piece", [1, 5, 11])
+def test_the_number_of_clauses_at_once_changes_no_row(spark, piece):
+    rows, _ = corpus(60)
+    rows += [(100 + k, "\n".join(x[1] for x in rows[k : k + 4]) + "\n" + rows[k][1], "\n".join(x[2] for x in rows[k : k + 4][:: (-1) ** k])) for k in range(10)]
+    assert run(spark, rows, piece=piece) == run(spark, rows)
+
+
+def test_a_long_text_whose_first_half_is_not_translated(spark):
+    rows, _ = corpus(300)
+    pairs = [sentence() for _ in range(1600)]
+    rows.append((999, "\n".join(a for a, _ in pairs), "\n".join(b for _, b in pairs[800:])))
+    got = {x[1:] for x in run(spark, rows) if x[0] == 999}
+    assert len(got & {(800 + i, i) for i in range(800)}) > 780 and len(got) < 820
